@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..plans import sqltext as Q
-from . import chunk_tokens, components, digests, grouped_split, mixture, overlap, quota_sample, sampling
+from . import chunk_tokens, components, digests, grouped_split, mixture, overlap, quota_sample, sampling, subjects
 
 QUERIES = {
     "p1_sample": sampling.p1_sample,
@@ -25,6 +25,8 @@ QUERIES = {
     "p9_found": mixture.p9_found,
     "p9_report": mixture.p9_report,
     "p9_mix": mixture.p9_mix,
+    "p10_found": subjects.p10_found,
+    "p10_composition": subjects.p10_composition,
 }
 
 _ID = Q.image_id("stable_image_id")
