@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..operators import references
-from . import sqltext
+from ..streaming import incremental
+from . import queries, sqltext
 
-QUERIES = {"p6_found": references.p6_found, "p6_counts": references.p6_counts}
-SQL = {"p6_found": sqltext.P6_FOUND, "p6_counts": sqltext.P6_COUNTS}
+QUERIES = {"p6_found": references.p6_found, "p6_counts": references.p6_counts, **queries.QUERIES, **incremental.QUERIES}
+SQL = {"p6_found": sqltext.P6_FOUND, "p6_counts": sqltext.P6_COUNTS, **queries.SQL, **incremental.SQL}
