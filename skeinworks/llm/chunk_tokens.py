@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,24 +19,71 @@ TOKENIZER = os.environ.get("SKEIN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tikt
 WINDOW, LEAST, MEAN, MOST = 24, 128, 512, 4096
 
 
-_SURE = re.compile(r"(?<=[^\W_]) (?=[^\W\d_])")
+#: A pre-token's extent depends on so many characters from its start on (contractions), besides the one after its end.
+AHEAD = 3
 
 
-@lru_cache(maxsize=2)
-def encoding(path: str):
-    """(encoder, pre-token pattern) of a rank file; the pattern is the one published with the vocabulary."""
-    import regex
-    import tiktoken
+class Scanner:
+    """Encoder of a rank file, and its pre-token pattern for finding boundaries.
+
+    ``odd`` holds the characters that this pattern engine classes otherwise
+    than the encoder's own (their Unicode versions differ); a text with one
+    of them is encoded whole.
+    """
 
-    try:
-        import public_tokenizers
+    def __init__(self, path: str):
+        import regex
+        import tiktoken
+
+        try:
+            import public_tokenizers
+
+            text = public_tokenizers.PATTERN
+        except ImportError:  # fixed value: the published byte-level BPE pre-token pattern
+            text = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.encoder = tiktoken.Encoding("byte-bpe", pat_str=text, mergeable_ranks=ranks, special_tokens={})
+        self.encode = self.encoder.encode_ordinary
+        self.pattern = regex.compile(text)
+        self.sure = regex.compile(r"(?<=[\p{L}\p{N}]) (?=\p{L})")
+        single = {bytes([i]): i for i in range(256)}
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        odd = set()
+        for kind in (r"\p{L}", r"\p{N}", r"\s"):
+            theirs = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
+            odd |= set(bytes(theirs).decode()) ^ set(regex.findall(kind, every))
+        codes = sorted(map(ord, odd)) or [0xE000]
+        cut = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
+        runs = [(codes[i], codes[j - 1]) for i, j in zip([0, *cut], [*cut, len(codes)])]
+        self.odd = regex.compile("[" + "".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in runs) + "]")
+
+    def decode(self, ids) -> str:
+        return self.encoder.decode_bytes(ids).decode("utf-8")
+
+    def settled(self, m, size: int) -> bool:
+        """Whether a match in a text of ``size`` characters stays the same when the text goes on."""
+        return m.end() < size and m.start() + AHEAD <= size
+
+    def unsettled_from(self, chunk: str, own: int) -> int:
+        """Start of the first pre-token from the boundary ``own`` on that what follows the chunk may change.
+
+        Between a letter or digit and a space that a letter follows there is
+        always a boundary, so the scan begins at such a place near the end.
+        """
+        for m in self.sure.finditer(chunk, max(own, len(chunk) - 160)):
+            if m.start() + AHEAD < len(chunk):
+                own = m.start()
+        for m in self.pattern.finditer(chunk, own):
+            if not self.settled(m, len(chunk)):
+                return m.start()
+        return len(chunk)
 
-        pattern = public_tokenizers.PATTERN
-    except ImportError:  # fixed value: the published byte-level BPE pre-token pattern
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), regex.compile(pattern)
+
+@lru_cache(maxsize=2)
+def scanner(path: str) -> Scanner:
+    """The scanner of a rank file, one per process."""
+    return Scanner(path)
 
 
 @lru_cache(maxsize=1)
@@ -80,80 +126,48 @@ def cuts(text: str) -> list[int]:
     return out
 
 
-def repaired(parts: list[np.ndarray], enc, pattern) -> list[int]:
+def repaired(parts: list[np.ndarray], scan: Scanner) -> list[int]:
     """Ids of the text whose chunks were encoded apart, equal to encoding it whole.
 
-    Scanning goes left to right and never looks back, so every pre-token of a
-    chunk that ends before the chunk's end is also one of the whole text. Only
-    the last pre-token before a join is in doubt: from its start the text is
-    scanned again, across the join, until a boundary coincides with one of the
-    next chunk's own; from there both agree, and the next chunk's ids are used.
+    Scanning goes left to right and never looks back, and a pre-token that is
+    settled within its chunk is one of the whole text. Only what follows the
+    last settled one before a join is in doubt: from there the text is scanned
+    again across the join, until a settled boundary coincides with one of the
+    next chunk's own; from there on both agree, and the chunk's ids are used.
     """
     if len(parts) == 1:
         return parts[0].tolist()
-    text = lambda ids: enc.decode_bytes(ids).decode("utf-8")
+    chunks = [scan.decode(p.tolist()) for p in parts]
+    if any(map(scan.odd.search, chunks)):
+        return scan.encode("".join(chunks))
     out: list[int] = []
-    tail = ""  # text whose encoding is in doubt; it starts at a true boundary
-    for i, part in enumerate(parts):
-        ids = part.tolist()
-        chunk = text(ids)
-        own = 0  # characters of this chunk that belong to the repaired stretch
-        own_ends = None
+    tail = ""  # text in doubt; it starts at a true boundary
+    for i, (part, chunk) in enumerate(zip(parts, chunks)):
+        ids, last, own = part.tolist(), i == len(parts) - 1, 0
         if tail:
-            whole = tail + chunk
-            offset = len(tail)
-            own_scan = pattern.finditer(chunk)
-            own_end = 0
-            joined, agreed = [], None
-            for m in pattern.finditer(whole):
-                end = m.end() - offset
-                while own_end < end and (nxt := next(own_scan, None)) is not None:
-                    own_end = nxt.end()
-                joined.append(m.group())
-                if end > 0 and own_end == end and end < len(chunk):
-                    agreed = end
+            whole, offset = tail + chunk, len(tail)
+            ends, at, done, agreed = scan.pattern.finditer(chunk), 0, 0, False
+            for m in scan.pattern.finditer(whole):
+                if not last and not scan.settled(m, len(whole)):
+                    break
+                out += scan.encode(m.group())
+                done = m.end()
+                while at < done - offset and (e := next(ends, None)) is not None:
+                    at = e.end()
+                if 0 < at == done - offset < len(chunk):
+                    agreed = True
                     break
-            if agreed is None:  # no boundary coincides inside this chunk: all of it is in doubt
-                tail = whole
-                if i == len(parts) - 1:
-                    out += enc.encode_ordinary(whole)
-                    tail = ""
-                else:  # keep only from the last pre-token on, as below
-                    *done, last = joined
-                    for piece in done:
-                        out += enc.encode_ordinary(piece)
-                    tail = last
+            if not agreed:
+                tail = whole[done:]
                 continue
-            for piece in joined:
-                out += enc.encode_ordinary(piece)
-            own = agreed
-        # the chunk's own ids from its boundary ``own`` on; its last pre-token waits for the next join
-        skip = len(enc.encode_ordinary(chunk[:own])) if own else 0
-        if i == len(parts) - 1:
-            out += ids[skip:]
-            tail = ""
-            continue
-        start = _last_start(chunk, own, pattern)
-        keep = len(ids) - len(enc.encode_ordinary(chunk[start:]))
-        out += ids[skip:keep]
+            own = done - offset
+        skip = len(scan.encode(chunk[:own])) if own else 0
+        if last:
+            return out + ids[skip:]
+        start = scan.unsettled_from(chunk, own)
         tail = chunk[start:]
-    if tail:
-        out += enc.encode_ordinary(tail)
-    return out
-
-
-def _last_start(chunk: str, own: int, pattern) -> int:
-    """Start of the last pre-token of a chunk whose scan has a boundary at ``own``.
-
-    Between a letter or digit and a space that a letter follows there is always
-    a boundary, so the scan may begin at the last such place.
-    """
-    for m in _SURE.finditer(chunk, max(own, len(chunk) - 160)):
-        own = m.start()
-    start = own
-    for m in pattern.finditer(chunk, own):
-        start = m.start()
-    return start
+        out += ids[skip : len(ids) - len(scan.encode(tail))]
+    return out + scan.encode(tail)
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -180,14 +194,14 @@ def encode_corpus(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pd.DataFrame(rows, columns=["row", "doc_id", "seq", "chunk"])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, _ = encoding(tokenizer)
+        scan = scanner(tokenizer)
         for b in batches:
-            yield pd.DataFrame({"h": b["h"], "ids": [enc.encode_ordinary(x) for x in b["chunk"]]})
+            yield pd.DataFrame({"h": b["h"], "ids": [scan.encode(x) for x in b["chunk"]]})
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, pattern = encoding(tokenizer)
+        scan = scanner(tokenizer)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [repaired([p["ids"] for p in parts], enc, pattern) for parts in b["parts"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [repaired([p["ids"] for p in parts], scan) for parts in b["parts"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     full = docs.where("text IS NOT NULL AND text <> ''").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")

@@ -11,7 +11,7 @@ from .common import EVALUATION_SPLITS, current_splits, image_rows
 
 def word_shingles(text, words: int = 5):
     """Distinct shingles of ``words`` words of a text column; a shorter text is one shingle, an empty one none."""
-    tokens = F.filter(F.split(F.lower(S.trimmed(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    tokens = F.filter(F.split(F.lower(S.trimmed(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     long = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (words - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, words), " "))
     return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(long))
 

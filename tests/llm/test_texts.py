@@ -49,7 +49,7 @@ def test_cluster_sizes_shrink_at_the_ends():
 
 # --- 8 --------------------------------------------------------------------------------------------------------------
 
-BITS = ["Hello world", "  \n\n\t ", "don't we'll I'M", "12345 67890", "日本語テキスト", "🧪‍🧪 zwj", "ß‮​", "<|endoftext|>", "a" * 50, " " * 70, "é" * 9, "\r\n", "'s 'll 've", "!?…—", "ﬁ ǅ ٣٤"]
+BITS = ["Hello world", "  \n\n\t ", "don't we'll I'M", "12345 67890", "日本語テキスト", "🧪‍🧪 zwj", "ß‮​", "<|endoftext|>", "a" * 50, " " * 70, "é" * 9, "\r\n", "'s 'll 've", "!?…—", "ﬁ ǅ ٣٤", "'", "l", "'l", "r", "\u0558\u058b", "\x1c\x85"]
 
 
 def test_tokens_equal_whole_encoding(spark):
@@ -57,7 +57,7 @@ def test_tokens_equal_whole_encoding(spark):
     shared = " ".join(rng.choice(BITS) for _ in range(300))
     texts = [None, "", " ", shared, shared + shared, "x" + shared, shared[17:], " " * 9000, "\n" * 700 + "a", "ab" * 5000]
     texts += ["".join(rng.choice(BITS) + rng.choice(["", " ", "\n", "  "]) for _ in range(rng.randrange(1, 400))) for _ in range(40)]
-    enc, _ = chunk_tokens.encoding(chunk_tokens.TOKENIZER)
+    enc = chunk_tokens.scanner(chunk_tokens.TOKENIZER).encoder
     df = frame(spark, [(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     got = {r.doc_id: list(r.ids) for r in chunk_tokens.encode_corpus(df).collect()}
     assert len(got) == len(texts)
@@ -67,12 +67,13 @@ def test_tokens_equal_whole_encoding(spark):
 
 def test_repair_on_arbitrary_cuts():
     rng = random.Random(9)
-    enc, pattern = chunk_tokens.encoding(chunk_tokens.TOKENIZER)
-    for _ in range(400):
+    scan = chunk_tokens.scanner(chunk_tokens.TOKENIZER)
+    enc = scan.encoder
+    for _ in range(3000):
         t = "".join(rng.choice(BITS) + rng.choice(["", " ", "\n", "  "]) for _ in range(rng.randrange(1, 14)))
         at = sorted(rng.sample(range(1, len(t)), min(len(t) - 1, rng.randrange(0, 6))))
         parts = [np.array(enc.encode_ordinary(t[a:b]), np.int32) for a, b in zip([0, *at], [*at, len(t)])]
-        assert chunk_tokens.repaired(parts, enc, pattern) == enc.encode_ordinary(t), (t, at)
+        assert chunk_tokens.repaired(parts, scan) == enc.encode_ordinary(t), (t, at)
 
 
 def test_chunks_are_content_defined():
@@ -124,7 +125,8 @@ def test_mix_empty(spark):
 
 # --- 10 -------------------------------------------------------------------------------------------------------------
 
-WORDS = {"optics": "laser lens beam pinhole mirror detector photon".split(), "law": "licence clause consent statute patent breach court".split(), "sport": "league team match runner goal referee race".split()}
+_RNG = random.Random(99)
+WORDS = {s: ["".join(_RNG.choice("abcdefghilmnoprstu") for _ in range(7)) for _ in range(60)] for s in ("optics", "law", "sport", "software")}
 FILLER = "it seems that we noticed nothing else to add this week".split()
 
 
