@@ -116,6 +116,7 @@ def blocks_of(records: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[DataF
     distinct pair of groups that some record joins, so a group with a third
     of all records is one vertex and its rows are aggregated map-side.
     """
+    records = checkpointed(records.select("stable_image_id", "bio", "acq", "eligibility", "synthetic_split"))  # read three times below
     bio, acq = F.concat(F.lit("b:"), "bio"), F.concat(F.lit("a:"), "acq")
     pairs = records.where("bio IS NOT NULL AND acq IS NOT NULL").select(bio.alias("u"), acq.alias("v")).distinct()
     forest, label = spanning_forest(pairs, local_edges)
