@@ -57,28 +57,28 @@ def image_id(c: Column | str) -> Column:
     """``img_`` and 20 lower-case hex digits; any other text only trimmed and in lower case."""
     x = F.lower(trimmed(c))
     hexes = F.regexp_extract(x, r"^(?:img)?[^0-9a-z]*([0-9a-f]{20})$", 1)
-    return F.when(hexes != "", F.concat(F.lit("img_"), hexes)).otherwise(known(x))
+    slow = F.when(hexes != "", F.concat(F.lit("img_"), hexes)).otherwise(known(x))
+    return F.when(_col(c).rlike("^img_[0-9a-f]{20}$"), _col(c)).otherwise(slow)  # most ids are clean
 
 
 def sha256(c: Column | str) -> Column:
     """64 lower-case hex digits without a ``sha256:`` or ``SHA256=`` prefix."""
     x = F.lower(trimmed(c))
-    return known(F.regexp_replace(x, r"^sha[-_ ]?256\s*[:=]?\s*", ""))
+    return F.when(_col(c).rlike("^[0-9a-f]{64}$"), _col(c)).otherwise(known(F.regexp_replace(x, r"^sha[-_ ]?256\s*[:=]?\s*", "")))
 
 
 def role(c: Column | str) -> Column:
     """One of the four split roles, null for an unassigned one; other words keep their key."""
-    k = key(c)
-    bare = F.regexp_replace(k, "_", "")
-    out = k
-    for name, words in ROLES.items():
-        out = F.when(bare.isin(words), F.lit(name)).otherwise(out)
-    return out
+    bare = F.regexp_replace(F.lower(_col(c)), r"[^\p{L}\p{N}]+", "")
+    named = F.create_map(*[F.lit(x) for name, words in ROLES.items() for w in words for x in (w, name)])
+    # one lookup keeps the generated method small enough for the JIT compiler
+    return F.coalesce(named[bare], key(c))
 
 
 def condition(c: Column | str) -> Column:
     """Clean form of a condition: ``AD``."""
-    return F.upper(key(c))
+    raw = _col(c)
+    return F.when(raw.rlike("^[A-Z]{2,}$") & ~F.lower(raw).isin(NOT_KNOWN), raw).otherwise(F.upper(key(c)))
 
 
 def div(c: Column | str) -> Column:
@@ -86,7 +86,8 @@ def div(c: Column | str) -> Column:
     k = key(c)
     digits = F.regexp_extract(k, r"^div_(\d+)$", 1)
     padded = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
-    return F.when(digits != "", F.concat(F.lit("DIV"), padded)).otherwise(F.upper(k))
+    slow = F.when(digits != "", F.concat(F.lit("DIV"), padded)).otherwise(F.upper(k))
+    return F.when(_col(c).rlike("^DIV(0[1-9]|[1-9][0-9]+)$"), _col(c)).otherwise(slow)
 
 
 def word(c: Column | str) -> Column:
