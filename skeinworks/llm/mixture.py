@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .common import cumulative_before
 SEED = 9
 #: Distinct membership patterns that the driver's flow graph may have.
 MOST_PATTERNS = 20_000
+#: With as few documents left that may still fit, a task per pattern and source ends the selection.
+LOCAL_DOCUMENTS = 500_000
 
 
 class Flow:
@@ -129,12 +133,29 @@ def mixture_plan(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     )
 
 
-def select_documents(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, repeats, n_tokens``: whole passes over a pattern, and its first documents in seeded order for the rest.
-
-    The running token counts are distributed over hash ranges; the plan (a row
-    per pattern and source) is broadcast. A document whose tokens would exceed
-    the rest is left to its whole passes, so no quota is exceeded.
+def _first_fit(t: pa.Table) -> pa.Table:
+    """Add ``chosen`` to the documents of one pattern and source: in seeded order, each that still fits the rest."""
+    # the hash ranges of cumulative_before are in unsigned order
+    t = t.append_column("order", t["position"].cast(pa.uint64(), safe=False)).sort_by([("order", "ascending"), ("doc_id", "ascending")]).drop_columns("order")
+    left, chosen = t["rest"][0].as_py(), []
+    for n in t["n_tokens"].to_pylist():
+        chosen.append(n <= left)
+        left -= n if chosen[-1] else 0
+    return t.append_column("chosen", pa.array(chosen, pa.bool_()))
+
+
+def select_documents(docs: DataFrame, plan: DataFrame, seed: int = SEED, local_documents: int = LOCAL_DOCUMENTS) -> DataFrame:
+    """``doc_id, source, repeats, n_tokens``: whole passes over a pattern, and for the rest its documents in seeded order, each that still fits.
+
+    No quota is exceeded, and what stays empty of a rest is less than the
+    shortest document that the rest leaves out. A pass takes the documents
+    before the first one that exceeds the rest; the running token counts are
+    distributed over hash ranges and the plan (a row per pattern and source)
+    is broadcast. Then the rest is less than one document. Of those that still
+    fit, only the first of each size that fit it together can follow: at most
+    rest x (1 + ln rest) for a rest, however many documents there are. With at
+    most ``local_documents`` of them, one task per pattern and source ends the
+    work by the same rule; else the pass is repeated on them.
     """
     sources = plan.select("source").distinct()
     names = [r["source"] for r in sources.collect()]
@@ -143,9 +164,32 @@ def select_documents(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> Data
     pattern = F.concat_ws("|", F.array_sort(F.array_intersect("sources", F.array(*[F.lit(s) for s in names]))))
     steps = plan.select(F.concat_ws("|", F.filter("pattern", lambda x: x.isin(names))).alias("p"), "source", F.floor(F.col("tokens") / F.col("supply")).alias("passes"), (F.col("tokens") % F.col("supply")).alias("rest"))
     rows = docs.where(F.col("n_tokens") > 0).withColumn("p", pattern).join(F.broadcast(steps), "p")
-    ordered = cumulative_before(rows, ["p", "source"], F.xxhash64("doc_id", "source", F.lit(seed)), "doc_id", F.col("n_tokens"))
-    repeats = F.col("passes") + (F.col("before") + F.col("n_tokens") <= F.col("rest")).cast("long")
-    return ordered.select("doc_id", "source", repeats.alias("repeats"), "n_tokens").where("repeats > 0")
+    rows = rows.select("doc_id", "source", "n_tokens", "p", "passes", "rest", F.xxhash64("doc_id", "source", F.lit(seed)).alias("position"))
+    parts: list[DataFrame] = []
+
+    def keep(part: DataFrame, more: int) -> None:
+        repeats = F.col("passes") + F.lit(more)
+        parts.append(part.select("doc_id", "source", repeats.cast("long").alias("repeats"), "n_tokens").where("repeats > 0"))
+
+    fits = F.col("before") + F.col("n_tokens") <= F.col("rest")
+    while True:
+        keep(rows.where("n_tokens > rest"), 0)
+        done = checkpointed(cumulative_before(rows.where("n_tokens <= rest"), ["p", "source"], F.col("position"), "doc_id", F.col("n_tokens")).withColumn("chosen", fits).drop("before"))
+        keep(done.where("chosen"), 1)
+        taken = done.where("chosen").groupBy("p", "source").agg(F.sum("n_tokens").alias("taken"))
+        left = done.where("NOT chosen").join(F.broadcast(taken), ["p", "source"]).withColumn("rest", F.col("rest") - F.col("taken")).drop("taken", "chosen")
+        keep(left.where("n_tokens > rest"), 0)
+        able = cumulative_before(left.where("n_tokens <= rest"), ["p", "source", "n_tokens"], F.col("position"), "doc_id", F.col("n_tokens"))
+        able = checkpointed(able.withColumn("able", fits).drop("before"))
+        keep(able.where("NOT able"), 0)
+        rows = able.where("able").drop("able")
+        if rows.count() <= local_documents:
+            break
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    last = checkpointed(rows.groupBy("p", "source").applyInArrow(_first_fit, kinds + ", chosen boolean"))
+    keep(last.where("chosen"), 1)
+    keep(last.where("NOT chosen"), 0)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

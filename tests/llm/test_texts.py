@@ -117,6 +117,26 @@ def test_mix_keeps_repeats_and_quotas(spark):
     assert max(v for (d, s), v in uses.items() if s == "a") <= 2 and max(v for (d, s), v in uses.items() if s == "b") <= 4
 
 
+@pytest.mark.parametrize("local", [0, 500_000])
+def test_mix_fills_the_rest_with_every_document_that_fits(spark, local):
+    rng = random.Random(13)
+    docs = [(i, ["a"], 40 if i % 3 else rng.randrange(2, 2000)) for i in range(500)] + [(i, ["b"], rng.randrange(1, 60)) for i in range(500, 900)]
+    df = frame(spark, docs, "doc_id long, sources array<string>, n_tokens long")
+    supply = {s: sum(n for _, x, n in docs if x == [s]) for s in "ab"}
+    rest = {"a": 1500, "b": 4000}
+    plan = frame(spark, [(["a"], "a", rest["a"], supply["a"]), (["b"], "b", rest["b"] + supply["b"], supply["b"])], "pattern array<string>, source string, tokens long, supply long")
+    want, left = set(), dict(rest)
+    rows = df.select("doc_id", F.col("sources")[0].alias("s"), "n_tokens", F.xxhash64("doc_id", F.col("sources")[0], F.lit(mixture.SEED)).alias("h")).collect()
+    for r in sorted(rows, key=lambda r: r.h % 2**64):  # hash ranges are in unsigned order
+        if r.n_tokens <= left[r.s]:
+            left[r.s] -= r.n_tokens
+            want.add(r.doc_id)
+    got = {r.doc_id: r.repeats for r in mixture.select_documents(df, plan, local_documents=local).collect()}
+    assert got == {i: (i in want) + (x == ["b"]) for i, x, _ in docs if i in want or x == ["b"]}
+    for s in "ab":
+        assert 0 <= left[s] < min(n for i, x, n in docs if x == [s] and i not in want)
+
+
 def test_mix_empty(spark):
     docs = frame(spark, [], "doc_id long, sources array<string>, n_tokens long")
     plan, report = mixture.mixture_plan(docs, frame(spark, [], "source string, target_weight double, max_repeats int, total_tokens long"))
