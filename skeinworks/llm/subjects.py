@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import spelling as S
 from ..session import checkpointed, table
 
-#: Terms are hashed into so many columns, whatever the vocabulary.
-COLUMNS = 1 << 16
 #: Free components for phrases of no subject.
 FREE = 3
 #: Most labelled documents that the anchors are fitted on (those with the smallest hash).
@@ -51,35 +49,53 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in _LINES.split(text) if p.strip()]
 
 
-def term_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, para, cols, n``: one row of the sparse document-term matrix per paragraph of each whole text."""
+def word_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang, para, words, n``: the distinct words of each paragraph of each whole text, in order, and how often each occurs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
         for b in batches:
             rows = []
             for doc, lang, text in zip(b["doc_id"], b["lang"], b["text"]):
                 for i, p in enumerate(paragraphs(text)):
-                    codes = [seen.get(w) if w in seen else seen.setdefault(w, zlib.crc32(w.encode()) % COLUMNS) for w in _WORD.findall(p.lower())]
-                    if codes:
-                        cols, n = np.unique(codes, return_counts=True)
-                        rows.append((doc, lang, i, cols.astype(np.int32), n.astype(np.int32)))
-                if len(seen) > 500_000:
-                    seen.clear()
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "para", "cols", "n"])
+                    if counts := Counter(_WORD.findall(p.lower())):
+                        words = sorted(counts)
+                        rows.append((doc, lang, i, words, np.array([counts[w] for w in words], np.int32)))
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "para", "words", "n"])
 
     code = F.split(S.key("lang"), "_")[0]
     for long, short in LANGUAGES.items():
         code = F.when(code == long, short).otherwise(code)
     full = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", code.alias("lang"), "text")
-    return full.mapInPandas(run, f"doc_id {kind}, lang string, para int, cols array<int>, n array<int>")
+    return full.mapInPandas(run, f"doc_id {kind}, lang string, para int, words array<string>, n array<int>")
 
 
-def term_weights(terms: DataFrame) -> np.ndarray:
+def vocabulary(words: DataFrame) -> list[str]:
+    """The distinct words of all paragraphs in order; a word's place is its column.
+
+    Found by a distributed aggregate. The list reaches the driver and the
+    tasks like H does, which needs more memory for each word.
+    """
+    rows = words.select(F.explode("words").alias("w")).distinct().toPandas()
+    return sorted(rows["w"])
+
+
+def term_rows(words: DataFrame, vocab: list[str]) -> DataFrame:
+    """``doc_id, lang, para, cols, n``: one row of the sparse document-term matrix per paragraph, a column for each word of ``vocab``."""
+    kind = words.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {w: i for i, w in enumerate(vocab)}
+        for b in batches:
+            yield b.drop(columns="words").assign(cols=[np.array([at[w] for w in ws], np.int32) for ws in b["words"]])[["doc_id", "lang", "para", "cols", "n"]]
+
+    return words.mapInPandas(run, f"doc_id {kind}, lang string, para int, cols array<int>, n array<int>")
+
+
+def term_weights(terms: DataFrame, columns: int) -> np.ndarray:
     """Weight of each column from its paragraph frequency in the language where it is most common.
 
-    Counted over all paragraphs; the result has COLUMNS numbers.
+    Counted over all paragraphs; the result has ``columns`` numbers.
     """
     sizes = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("paras"))
     counts = terms.select("lang", F.explode("cols").alias("col")).groupBy("lang", "col").agg(F.count(F.lit(1)).alias("n"))
@@ -90,7 +106,7 @@ def term_weights(terms: DataFrame) -> np.ndarray:
         (F.sum("n") / F.lit(max(200, whole))).alias("all"), *[(F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)) / F.lit(max(200, total[k]))).alias(f"l{i}") for i, k in enumerate(main)]
     )
     rows = share.select("col", F.greatest("all", F.lit(0.0), *[f"l{i}" for i in range(len(main))]).alias("f")).toPandas()
-    f = np.full(COLUMNS, 1e-9)
+    f = np.full(columns, 1e-9)
     f[rows["col"].to_numpy(int)] = rows["f"].to_numpy(float)
     return np.clip(np.log(COMMON / np.maximum(f, 1e-9)) / np.log(COMMON / RARE), 0.02, 1.0)
 
@@ -117,13 +133,13 @@ def factor_rows(at: np.ndarray, j: np.ndarray, v: np.ndarray, w: np.ndarray, h:
     return w, mass, part
 
 
-def _sums(part: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(j, part[:, k], COLUMNS) for k in range(part.shape[1])])
+def _sums(part: np.ndarray, j: np.ndarray, columns: int) -> np.ndarray:
+    return np.stack([np.bincount(j, part[:, k], columns) for k in range(part.shape[1])])
 
 
 def anchors(frame: pd.DataFrame, subjects: list[str], weights: np.ndarray) -> np.ndarray:
     """Component-term sums of the labelled sample: alternating updates with W masked by the labels."""
-    k, m = len(subjects), len(subjects) + FREE
+    k, m, columns = len(subjects), len(subjects) + FREE, len(weights)
     at, j, v = _matrix(frame["cols"].tolist(), frame["n"].tolist(), weights)
     sizes = np.diff(np.r_[at, len(j)])
     mask = np.full((len(frame), m), DOUBT)
@@ -131,21 +147,21 @@ def anchors(frame: pd.DataFrame, subjects: list[str], weights: np.ndarray) -> np
     where = {s: i for i, s in enumerate(subjects)}
     for r, names in enumerate(frame["labels"]):
         mask[r, [where[s] for s in names if s in where]] = 1.0
-    base = np.bincount(j, v, COLUMNS) + 1e-3
-    h = np.empty((m, COLUMNS))
+    base = np.bincount(j, v, columns) + 1e-3
+    h = np.empty((m, columns))
     wide = np.repeat(mask[:, :k] == 1.0, sizes, axis=0)
     for i in range(k):  # seeds: what the label's paragraphs have more often than all
-        own = np.bincount(j[wide[:, i]], v[wide[:, i]], COLUMNS) + 1e-3
+        own = np.bincount(j[wide[:, i]], v[wide[:, i]], columns) + 1e-3
         h[i] = own * (own / own.sum()) / (base / base.sum())
-    h[k:] = base * np.random.default_rng(SEED).uniform(0.5, 1.5, (FREE, COLUMNS))
+    h[k:] = base * np.random.default_rng(SEED).uniform(0.5, 1.5, (FREE, columns))
     h /= h.sum(1, keepdims=True)
     prior = np.r_[np.full(k, PRIOR), np.full(FREE, PRIOR_FREE)]
     w = mask / mask.sum(1, keepdims=True)
     for _ in range(ANCHOR_ROUNDS):
         w, _, part = factor_rows(at, j, v, w, h, prior, 2, mask)
-        h = _sums(part, j) + 1e-4
+        h = _sums(part, j, columns) + 1e-4
         h /= h.sum(1, keepdims=True)
-    return _sums(part, j)
+    return _sums(part, j, columns)
 
 
 def fit_subjects(terms: DataFrame, labels: DataFrame, subjects: list[str], weights: np.ndarray) -> np.ndarray:
@@ -155,9 +171,9 @@ def fit_subjects(terms: DataFrame, labels: DataFrame, subjects: list[str], weigh
     most LABELLED labelled documents, in one task. Then W and H are updated in
     turn over every paragraph of the corpus: each partition sums its share of
     H, the sums are added per term, and the anchors stay in as prior counts.
-    Only H (components x COLUMNS) reaches the driver and the tasks.
+    Only H (components x vocabulary) reaches the driver and the tasks.
     """
-    k, m = len(subjects), len(subjects) + FREE
+    k, m, columns = len(subjects), len(subjects) + FREE, len(weights)
     known = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(LABELLED)
     sample = terms.join(chosen, "doc_id").select("doc_id", "para", "cols", "n", "labels")
@@ -167,7 +183,7 @@ def fit_subjects(terms: DataFrame, labels: DataFrame, subjects: list[str], weigh
         return pd.DataFrame({"k": np.arange(m), "h": list(h)})
 
     rows = sample.groupBy(F.lit(1).alias("one")).applyInPandas(lambda f: fit(f), "k int, h array<double>").collect()
-    anchored = np.zeros((m, COLUMNS))
+    anchored = np.zeros((m, columns))
     for r in rows:
         anchored[r["k"]] = r["h"]
     norm = lambda x: (x + 1e-4) / (x + 1e-4).sum(1, keepdims=True)
@@ -178,18 +194,18 @@ def fit_subjects(terms: DataFrame, labels: DataFrame, subjects: list[str], weigh
         now = h
 
         def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((m, COLUMNS))
+            total = np.zeros((m, columns))
             for b in batches:
                 if len(b):
                     at, j, v = _matrix(b["cols"].tolist(), b["n"].tolist(), weights)
                     _, _, part = factor_rows(at, j, v, np.full((len(b), m), 1 / m), now, prior, INNER)  # noqa: B023
-                    total += _sums(part, j)
+                    total += _sums(part, j, columns)
             used = np.flatnonzero(total.sum(0) > 0)
             yield pd.DataFrame({"col": used, **{c: total[i, used] for i, c in enumerate(names)}})
 
         sums = terms.select("cols", "n").mapInPandas(step, "col int, " + ", ".join(f"{c} double" for c in names))
-        got = sums.groupBy("col").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # at most COLUMNS rows
-        fresh = np.zeros((m, COLUMNS))
+        got = sums.groupBy("col").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # a row per word at most
+        fresh = np.zeros((m, columns))
         fresh[:, got["col"].to_numpy(int)] = got[names].to_numpy(float).T
         h = norm(fresh + ANCHOR * anchored)
     return h
@@ -228,10 +244,14 @@ def subject_mixtures(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Da
     areas = areas.select(S.word("subject").alias("subject")).where("subject IS NOT NULL").distinct()
     subjects = sorted(r["subject"] for r in areas.limit(1000).collect())
     labels = labels.select("doc_id", S.word("subject").alias("subject")).where("doc_id IS NOT NULL AND subject IS NOT NULL")
-    terms = checkpointed(term_rows(docs))
+    words = checkpointed(word_rows(docs))
     if not subjects or not labels.limit(1).count():
-        return terms.select("doc_id", "para", F.lit("").alias("subject"), F.lit(0.0).alias("share"), F.lit(0.0).alias("mass"), F.lit(False).alias("fills")).limit(0)
-    weights = term_weights(terms)
+        return words.select("doc_id", "para", F.lit("").alias("subject"), F.lit(0.0).alias("share"), F.lit(0.0).alias("mass"), F.lit(False).alias("fills")).limit(0)
+    vocab = vocabulary(words)
+    if not vocab:
+        return words.select("doc_id", "para", F.lit("").alias("subject"), F.lit(0.0).alias("share"), F.lit(0.0).alias("mass"), F.lit(False).alias("fills")).limit(0)
+    terms = checkpointed(term_rows(words, vocab))
+    weights = term_weights(terms, len(vocab))
     return paragraph_subjects(terms, fit_subjects(terms, labels, subjects, weights), subjects, weights)
 
 

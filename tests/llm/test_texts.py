@@ -1,6 +1,7 @@
 """Problems 7 to 10 against brute force, exact round trips and held-out accuracy."""
 
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -173,6 +174,26 @@ def test_subjects_on_held_out_documents(spark):
     assert not any(found[i] for i in (1000, 1001, 1002))
 
 
+def test_words_with_equal_crc_stay_apart(spark):
+    rng = random.Random(14)
+    seen, pairs = {}, []
+    while len(pairs) < 200:
+        w = "".join(rng.choice("abcdefghilmnoprstu") for _ in range(7))
+        other = seen.setdefault(zlib.crc32(w.encode()) % 65536, w)
+        if other != w:
+            pairs.append((seen.pop(zlib.crc32(w.encode()) % 65536), w))
+    words = {"optics": [a for a, _ in pairs], "law": [b for _, b in pairs]}
+    docs = [(i, " ".join(rng.choice(words[s]) for _ in range(12)), "en") for i in range(200) for s in [("optics", "law")[i % 2]]]
+    labels = [(i, ("optics", "law")[i % 2]) for i in range(60)]
+    got = subjects.subject_mixtures(frame(spark, docs, "doc_id long, text string, lang string"), frame(spark, labels, "doc_id long, subject string"), frame(spark, [("optics",), ("law",)], "subject string"))
+    found, true = {(r.doc_id, r.subject) for r in got.where("fills").collect()}, {(i, ("optics", "law")[i % 2]) for i in range(200)}
+    assert len(found & true) > 140 and found <= true, (len(found & true), len(found - true))
+    rows = subjects.word_rows(frame(spark, docs, "doc_id long, text string, lang string"))
+    vocab = subjects.vocabulary(rows)
+    assert vocab == sorted({w for p in pairs for w in p} & {w for _, t, _ in docs for w in t.split()})
+    assert all(len(set(r.cols)) == len(r.cols) == len(r.n) for r in subjects.term_rows(rows, vocab).collect())
+
+
 def test_subjects_without_labels(spark):
     docs = frame(spark, [(1, "a b c", "en")], "doc_id long, text string, lang string")
     none = frame(spark, [], "doc_id long, subject string")
