@@ -232,42 +232,78 @@ def paragraph_subjects(terms: DataFrame, h: np.ndarray, subjects: list[str], wei
     return terms.select("doc_id", "para", "cols", "n").mapInPandas(run, f"doc_id {kind}, para int, subject string, share double, mass double, fills boolean")
 
 
-def subject_mixtures(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
-    """Subject mixture of every paragraph of ``docs`` (``doc_id, text, lang``).
+def subject_masses(terms: DataFrame, h: np.ndarray, subjects: list[str], weights: np.ndarray) -> DataFrame:
+    """``subject, mass``: the term mass of each subject in all paragraphs, small shares too; each partition sends one row per subject."""
+    k, m = len(subjects), len(subjects) + FREE
+    prior = np.r_[np.full(k, PRIOR), np.full(FREE, PRIOR_FREE)]
 
-    labels: ``doc_id, subject``; areas: ``subject`` (a fixed table of ten rows).
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(k)
+        for b in batches:
+            if len(b):
+                at, j, v = _matrix(b["cols"].tolist(), b["n"].tolist(), weights)
+                total += factor_rows(at, j, v, np.full((len(b), m), 1 / m), h, prior, LAST_INNER)[1][:, :k].sum(0)
+        yield pd.DataFrame({"subject": subjects, "mass": total})
 
-    Defined cases: null, empty and wordless texts have no subject; labels of
-    unknown subjects or documents are ignored; repeated rows of a document
-    count as often as they occur; without labels or areas nothing is assigned.
-    """
+    return terms.select("cols", "n").mapInPandas(run, "subject string, mass double").groupBy("subject").agg(F.sum("mass").alias("mass"))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple | None:
+    """(terms, H, subjects, weights) as the functions above take them; None without areas, labels or words."""
     areas = areas.select(S.word("subject").alias("subject")).where("subject IS NOT NULL").distinct()
     subjects = sorted(r["subject"] for r in areas.limit(1000).collect())
     labels = labels.select("doc_id", S.word("subject").alias("subject")).where("doc_id IS NOT NULL AND subject IS NOT NULL")
-    words = checkpointed(word_rows(docs))
     if not subjects or not labels.limit(1).count():
-        return words.select("doc_id", "para", F.lit("").alias("subject"), F.lit(0.0).alias("share"), F.lit(0.0).alias("mass"), F.lit(False).alias("fills")).limit(0)
+        return None
+    words = checkpointed(word_rows(docs))
     vocab = vocabulary(words)
     if not vocab:
-        return words.select("doc_id", "para", F.lit("").alias("subject"), F.lit(0.0).alias("share"), F.lit(0.0).alias("mass"), F.lit(False).alias("fills")).limit(0)
+        return None
     terms = checkpointed(term_rows(words, vocab))
     weights = term_weights(terms, len(vocab))
-    return paragraph_subjects(terms, fit_subjects(terms, labels, subjects, weights), subjects, weights)
+    return terms, fit_subjects(terms, labels, subjects, weights), subjects, weights
+
 
+def subject_mixtures(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
+    """Subject mixture of every paragraph of ``docs`` (``doc_id, text, lang``), without shares under 0.05.
+
+    labels: ``doc_id, subject``; areas: ``subject`` (a fixed table of ten rows).
+
+    Defined cases: null, empty and wordless texts have no subject; labels of
+    unknown subjects or documents are ignored; repeated rows of a document
+    count as often as they occur; without labels or areas nothing is assigned.
+    """
+    fitted = _fitted(docs, labels, areas)
+    if fitted is None:
+        return docs.select("doc_id", F.lit(0).alias("para"), F.lit("").alias("subject"), F.lit(0.0).alias("share"), F.lit(0.0).alias("mass"), F.lit(False).alias("fills")).limit(0)
+    return paragraph_subjects(*fitted)
 
-def _mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def subject_composition(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
+    """``subject, n_documents, share``: documents that a subject fills a paragraph of, and its share of the whole subject mass.
+
+    Defined cases as of ``subject_mixtures``; a subject without mass has share 0.
+    """
+    fitted = _fitted(docs, labels, areas)
+    if fitted is None:
+        return docs.select(F.lit("").alias("subject"), F.lit(0).cast("long").alias("n_documents"), F.lit(0.0).alias("share")).limit(0)
+    per = checkpointed(subject_masses(*fitted))
+    filled = paragraph_subjects(*fitted).where("fills").groupBy("subject").agg(F.countDistinct("doc_id").alias("n_documents"))
+    total = F.broadcast(per.agg(F.sum("mass").alias("total")))
+    share = F.coalesce(F.try_divide("mass", "total"), F.lit(0.0))
+    return per.join(F.broadcast(filled), "subject", "left").crossJoin(total).select("subject", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), share.alias("share"))
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = lambda name: table(spark, sf_dir, name)
-    return subject_mixtures(t("documents").select("doc_id", "text", "lang"), t("subject_labels"), t("subject_areas"))
+    return t("documents").select("doc_id", "text", "lang"), t("subject_labels"), t("subject_areas")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the subjects that fill a paragraph of them."""
-    return _mixtures(spark, sf_dir).where("fills").select("doc_id", "subject").distinct()
+    return subject_mixtures(*_tables(spark, sf_dir)).where("fills").select("doc_id", "subject").distinct()
 
 
 def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each subject in the corpus, by term mass, and its documents."""
-    rows = checkpointed(_mixtures(spark, sf_dir))
-    per = rows.groupBy("subject").agg(F.sum("mass").alias("mass"), F.countDistinct(F.when(F.col("fills"), F.col("doc_id"))).alias("n_documents"))
-    total = F.broadcast(per.agg(F.sum("mass").alias("total")))
-    return per.crossJoin(total).select("subject", "n_documents", (F.col("mass") / F.col("total")).alias("share"))
+    return subject_composition(*_tables(spark, sf_dir))

@@ -174,6 +174,17 @@ def test_subjects_on_held_out_documents(spark):
     assert not any(found[i] for i in (1000, 1001, 1002))
 
 
+def test_composition_counts_small_shares(spark):
+    subjects_, weights = ["law", "optics"], np.ones(4)
+    h = np.full((2 + subjects.FREE, 4), 1e-6)
+    h[0, 0] = h[1, 1] = h[2:, 2] = 1.0
+    # 99 parts of optics and 1 of law in each paragraph: a share under 0.05 that adds up
+    terms = frame(spark, [(i, 0, [0, 1], [1, 99]) for i in range(50)], "doc_id long, para int, cols array<int>, n array<int>").repartition(3)
+    got = {r.subject: r.mass for r in subjects.subject_masses(terms, h, subjects_, weights).collect()}
+    assert abs(got["law"] - 50) < 1 and abs(got["optics"] - 4950) < 1
+    assert {r.subject for r in subjects.paragraph_subjects(terms, h, subjects_, weights).collect()} == {"optics"}
+
+
 def test_words_with_equal_crc_stay_apart(spark):
     rng = random.Random(14)
     seen, pairs = {}, []
