@@ -31,7 +31,8 @@ def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def current_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per id of sted_splits: its latest row (ties: the greatest roles) and its groups.
 
-    A group may be absent in some rows of an id; any row that names it counts.
+    ``groups`` has every group that any row of the id names, biological ones
+    (``b:``) first; their number is bounded by the rows of one id.
     """
     df = table(spark, sf_dir, "sted_splits").select(
         S.image_id("stable_image_id").alias("stable_image_id"),
@@ -41,15 +42,16 @@ def current_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
         S.role("synthetic_split").alias("synthetic_split"),
         "assigned_at",
     )
+    named = lambda kind, c: F.transform(F.array_sort(c), lambda x: F.concat(F.lit(kind), x))
     return (
         df.where(F.col("stable_image_id").isNotNull())
         .groupBy("stable_image_id")
         .agg(
             F.max(F.struct(F.col("assigned_at").isNotNull().alias("k"), "assigned_at", "eligibility", "synthetic_split")).alias("now"),
-            F.min("bio").alias("bio"),
-            F.min("acq").alias("acq"),
+            F.collect_set("bio").alias("bios"),
+            F.collect_set("acq").alias("acqs"),
         )
-        .select("stable_image_id", "bio", "acq", F.col("now.eligibility").alias("eligibility"), F.col("now.synthetic_split").alias("synthetic_split"))
+        .select("stable_image_id", F.concat(named("b:", "bios"), named("a:", "acqs")).alias("groups"), F.col("now.eligibility").alias("eligibility"), F.col("now.synthetic_split").alias("synthetic_split"))
     )
 
 

@@ -109,18 +109,20 @@ def spanning_forest(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[D
 
 
 def blocks_of(records: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, blocks, forest) of records ``stable_image_id, bio, acq, eligibility, synthetic_split``.
+    """(members, blocks, forest) of records ``stable_image_id, groups, eligibility, synthetic_split``.
 
+    Without ``groups`` they are those of the columns ``bio`` and ``acq``.
     members: ``stable_image_id, vertex``; blocks: ``vertex, block_id, n, torn``
-    for each vertex; the graph has groups as vertices and one edge per
-    distinct pair of groups that some record joins, so a group with a third
+    for each vertex; the graph has groups as vertices and the distinct edges
+    from the first group of a record to its others, so a group with a third
     of all records is one vertex and its rows are aggregated map-side.
     """
-    records = checkpointed(records.select("stable_image_id", "bio", "acq", "eligibility", "synthetic_split"))  # read three times below
-    bio, acq = F.concat(F.lit("b:"), "bio"), F.concat(F.lit("a:"), "acq")
-    pairs = records.where("bio IS NOT NULL AND acq IS NOT NULL").select(bio.alias("u"), acq.alias("v")).distinct()
+    groups = F.col("groups") if "groups" in records.columns else F.array_compact(F.array(F.concat(F.lit("b:"), "bio"), F.concat(F.lit("a:"), "acq")))
+    records = checkpointed(records.select("stable_image_id", groups.alias("groups"), "eligibility", "synthetic_split"))  # read three times below
+    first = F.get("groups", F.lit(0))
+    pairs = records.where(F.size("groups") > 1).select(first.alias("u"), F.explode(F.slice("groups", F.lit(2), F.size("groups"))).alias("v")).distinct()
     forest, label = spanning_forest(pairs, local_edges)
-    members = records.withColumn("vertex", F.coalesce(bio, acq, F.concat(F.lit("r:"), "stable_image_id")))
+    members = records.withColumn("vertex", F.coalesce(first, F.concat(F.lit("r:"), "stable_image_id")))
     per = members.groupBy("vertex").agg(
         F.min("stable_image_id").alias("first"), F.count(F.lit(1)).alias("n"),
         F.min(F.least("eligibility", "synthetic_split")).alias("low"), F.max(F.greatest("eligibility", "synthetic_split")).alias("high"),

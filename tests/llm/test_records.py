@@ -216,3 +216,13 @@ def test_cumulative_before_matches_brute_force(spark):
             assert r.before == s
             s += r.w or 0
     assert len(got) == len(data)
+
+
+def test_rows_that_regroup_a_record_join_all_their_groups(spark, tmp_path):
+    i = [f"img_{k:020x}" for k in range(1, 6)]
+    rows = [(i[0], "PN1_R1", "acq_1", "training"), (i[0], "PN2_R1", "acq_2", "training"), (i[1], "PN2_R1", None, "validation"), (i[2], None, "acq_2", "training"), (i[3], "PN1_R1", None, "training"), (i[4], "PN9_R1", "acq_9", "training")]
+    df = frame(spark, rows, "stable_image_id string, biological_group_candidate string, acquisition_group string, eligibility string")
+    df.withColumns({"synthetic_split": F.lit(None).cast("string"), "assigned_at": F.timestamp_seconds(F.lit(0))}).write.parquet(str(tmp_path / "sted_splits.parquet"))
+    got = {(r.stable_image_id, r.block_id) for r in grouped_split.p4_found(spark, str(tmp_path)).collect()}
+    assert got == {(x, i[0]) for x in i[:4]}
+    assert grouped_split.p4_forest(spark, str(tmp_path)).count() == 4
