@@ -58,7 +58,7 @@ def test_tokens_equal_whole_encoding(spark):
     shared = " ".join(rng.choice(BITS) for _ in range(300))
     texts = [None, "", " ", shared, shared + shared, "x" + shared, shared[17:], " " * 9000, "\n" * 700 + "a", "ab" * 5000]
     texts += ["".join(rng.choice(BITS) + rng.choice(["", " ", "\n", "  "]) for _ in range(rng.randrange(1, 400))) for _ in range(40)]
-    enc = chunk_tokens.scanner(chunk_tokens.TOKENIZER).encoder
+    enc = chunk_tokens.encoder(chunk_tokens.TOKENIZER)
     df = frame(spark, [(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     got = {r.doc_id: list(r.ids) for r in chunk_tokens.encode_corpus(df).collect()}
     assert len(got) == len(texts)
@@ -66,26 +66,47 @@ def test_tokens_equal_whole_encoding(spark):
         assert got[i] == (enc.encode_ordinary(t) if t else []), (i, t and t[:50])
 
 
-def test_repair_on_arbitrary_cuts():
+def test_mended_joins_of_arbitrary_chunks():
     rng = random.Random(9)
-    scan = chunk_tokens.scanner(chunk_tokens.TOKENIZER)
-    enc = scan.encoder
+    encode = chunk_tokens.encoder(chunk_tokens.TOKENIZER).encode_ordinary
+    reused = 0
     for _ in range(3000):
         t = "".join(rng.choice(BITS) + rng.choice(["", " ", "\n", "  "]) for _ in range(rng.randrange(1, 14)))
         at = sorted(rng.sample(range(1, len(t)), min(len(t) - 1, rng.randrange(0, 6))))
-        parts = [np.array(enc.encode_ordinary(t[a:b]), np.int32) for a, b in zip([0, *at], [*at, len(t)])]
-        assert chunk_tokens.repaired(parts, scan) == enc.encode_ordinary(t), (t, at)
+        parts = []
+        for a, b in zip([0, *at], [*at, len(t)]):
+            lo, hi = chunk_tokens.core(t[a:b])
+            if lo < hi and rng.random() < 0.8:
+                part = (len(t[: a + lo].encode()), len(t[: a + hi].encode()), encode(t[a + lo : a + hi]))
+                parts += [part] * rng.randrange(1, 3)
+        reused += len(parts)
+        assert [i for p in chunk_tokens.mended(t.encode(), parts, encode) for i in p] == encode(t), (t, parts)
+    assert reused > 1000
 
 
-def test_chunks_are_content_defined():
+def test_counts_equal_lengths_and_equal_rows_stay(spark):
+    text = "the same words again and again, " * 40
+    df = frame(spark, [(1, text), (1, text), (1, "x" + text), (None, text), (2, None), (3, "")], "doc_id long, text string")
+    ids = sorted((r.doc_id or 0, len(r.ids)) for r in chunk_tokens.encode_corpus(df).collect())
+    assert ids == sorted((r.doc_id or 0, r.n_tokens) for r in chunk_tokens.token_counts(df).collect())
+    assert len(ids) == 6 and ids[-2:] == [(2, 0), (3, 0)]
+
+
+def chunks_of(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    ends = chunk_tokens.cuts(data, chunk_tokens.marks(data))
+    return ends, [data[i:j].tobytes() for i, j in zip([0, *ends], ends)]
+
+
+def test_chunks_are_content_defined(monkeypatch):
     rng = random.Random(10)
-    text = "".join(rng.choice("abcdefgh ij\n") for _ in range(20_000))
-    whole, moved = chunk_tokens.cuts(text), chunk_tokens.cuts("something new in front. " + text)
-    a = {text[i:j] for i, j in zip([0, *whole], whole)}
-    b = "something new in front. " + text
-    c = {b[i:j] for i, j in zip([0, *moved], moved)}
-    assert len(a & c) > 0.8 * len(a)
-    assert whole[-1] == len(text) and chunk_tokens.cuts("") == [] and chunk_tokens.cuts("abc") == [3]
+    text = "".join(rng.choice("abcdefgh ij\n日é") for _ in range(20_000))
+    (ends, whole), (_, moved) = chunks_of(text), chunks_of("something new in front. " + text)
+    assert len(set(whole) & set(moved)) > 0.8 * len(whole)
+    assert b"".join(whole).decode() == text and all(c.decode() for c in whole) and max(map(len, whole)) <= chunk_tokens.MOST
+    assert chunks_of("")[0] == [] and chunks_of("abc")[0] == [3]
+    monkeypatch.setattr(chunk_tokens, "STRIDE", 777)
+    assert chunks_of(text)[0] == ends
 
 
 # --- 9 --------------------------------------------------------------------------------------------------------------
