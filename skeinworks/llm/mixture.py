@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import deque
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import spelling as S
-from ..session import checkpointed, table
+from ..session import checkpointed, small, table
 from .chunk_tokens import token_counts
 from .common import cumulative_before
 
 SEED = 9
-#: Distinct membership patterns that the driver's flow graph may have.
-MOST_PATTERNS = 20_000
 #: With as few documents left that may still fit, a task per pattern and source ends the selection.
 LOCAL_DOCUMENTS = 500_000
 
 
 class Flow:
-    """Min-cost max-flow by successive shortest paths over a small graph with integer capacities."""
+    """Min-cost max-flow over integer capacities and costs: a blocking flow for each distance from the source."""
 
     def __init__(self, n: int):
         self.head: list[list[int]] = [[] for _ in range(n)]
         self.to: list[int] = []
         self.cap: list[int] = []
         self.cost: list[int] = []
+        self.price = [0] * n
 
     def arc(self, a: int, b: int, cap: int, cost: int) -> int:
         for x, y, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
@@ -39,29 +39,66 @@ class Flow:
             self.cost.append(w)
         return len(self.to) - 2
 
-    def run(self, s: int, t: int) -> None:
-        while True:
-            far, by, queue, inside = {s: 0}, {}, deque([s]), {s}
-            while queue:
-                x = queue.popleft()
-                inside.discard(x)
+    def _reduced(self, x: int, e: int) -> int:
+        return self.cost[e] + self.price[x] - self.price[self.to[e]]
+
+    def _reprice(self, s: int, t: int) -> bool:
+        """Shortest reduced distances from ``s`` become part of the prices; False if ``t`` can't be reached."""
+        far, queue = {s: 0}, [(0, s)]
+        while queue:
+            d, x = heapq.heappop(queue)
+            if d > far[x]:
+                continue
+            for e in self.head[x]:
+                if self.cap[e] > 0 and (n := d + self._reduced(x, e)) < far.get(self.to[e], math.inf):
+                    far[self.to[e]] = n
+                    heapq.heappush(queue, (n, self.to[e]))
+        if t not in far:
+            return False
+        self.price = [p + min(far.get(x, far[t]), far[t]) for x, p in enumerate(self.price)]
+        return True
+
+    def _layers(self, s: int) -> list[int]:
+        layer, front = [-1] * len(self.head), [s]
+        layer[s] = 0
+        while front:
+            ahead = []
+            for x in front:
                 for e in self.head[x]:
                     y = self.to[e]
-                    if self.cap[e] > 0 and far[x] + self.cost[e] < far.get(y, math.inf):
-                        far[y], by[y] = far[x] + self.cost[e], e
-                        if y not in inside:
-                            inside.add(y)
-                            queue.append(y)
-            if t not in far:
-                return
-            path, x = [], t
-            while x != s:
-                path.append(by[x])
-                x = self.to[by[x] ^ 1]
-            push = min(self.cap[e] for e in path)
-            for e in path:
-                self.cap[e] -= push
-                self.cap[e ^ 1] += push
+                    if layer[y] < 0 and self.cap[e] > 0 and self._reduced(x, e) == 0:
+                        layer[y] = layer[x] + 1
+                        ahead.append(y)
+            front = ahead
+        return layer
+
+    def _push(self, s: int, t: int, layer: list[int]) -> None:
+        """A blocking flow along the layers, each arc tried once."""
+        at, path = [0] * len(self.head), []
+        while True:
+            x = self.to[path[-1]] if path else s
+            if x == t:
+                least = min(self.cap[e] for e in path)
+                for e in path:
+                    self.cap[e] -= least
+                    self.cap[e ^ 1] += least
+                del path[next(i for i, e in enumerate(path) if self.cap[e] == 0) :]
+                continue
+            while at[x] < len(self.head[x]):
+                e = self.head[x][at[x]]
+                if self.cap[e] > 0 and layer[self.to[e]] == layer[x] + 1 and self._reduced(x, e) == 0:
+                    path.append(e)
+                    break
+                at[x] += 1
+            else:
+                if not path:
+                    return
+                at[self.to[path.pop() ^ 1]] += 1
+
+    def run(self, s: int, t: int) -> None:
+        while self._reprice(s, t):
+            while (layer := self._layers(s))[t] >= 0:
+                self._push(s, t, layer)
 
 
 def route(supply: list[tuple[tuple[str, ...], int]], targets: list[dict]) -> tuple[dict, dict]:
@@ -101,8 +138,8 @@ def mixture_plan(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     plan: ``pattern, source, tokens, supply``; report: one row per source with
     ``target_tokens, available_tokens, planned_tokens, short``. Documents are
     aggregated by membership pattern (map-side combined, so a source with a
-    third of all documents is one row); only patterns and targets, not
-    documents, reach the driver, and their number is checked.
+    third of all documents is one row); only targets and patterns, a row for
+    each set of target sources that some document has, reach the driver.
 
     Defined cases: null sources belong to no pattern; null or negative token
     counts are 0; targets with null or negative weights or repeats count as 0;
@@ -116,9 +153,7 @@ def mixture_plan(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     targets_ = [r.asDict() for r in t]
     names = F.array(*[F.lit(r["source"]) for r in targets_]) if targets_ else F.array().cast("array<string>")
     pattern = F.array_sort(F.array_intersect(F.coalesce("sources", F.array().cast("array<string>")), names))
-    rows = docs.groupBy(pattern.alias("pattern")).agg(F.sum(F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0))).alias("tokens")).where(F.size("pattern") > 0).limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    rows = docs.groupBy(pattern.alias("pattern")).agg(F.sum(F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0))).alias("tokens")).where(F.size("pattern") > 0).collect()
     supply = sorted((tuple(r["pattern"]), r["tokens"]) for r in rows)
     used, short = route(supply, targets_)
     stock = dict(supply)
@@ -144,52 +179,87 @@ def _first_fit(t: pa.Table) -> pa.Table:
     return t.append_column("chosen", pa.array(chosen, pa.bool_()))
 
 
+def _floor_div(a, b):
+    return F.call_function("div", a - F.pmod(a, b), b)
+
+
+def _per_pattern(plan: DataFrame) -> DataFrame:
+    """``p, supply, steps, most``: the sources of a pattern side by side, each with its interval of the pattern's tokens and its greatest number of uses."""
+    known = F.array_sort(F.collect_set("source").over(W.partitionBy()))
+    one = plan.select(F.concat_ws("|", F.array_sort(F.array_intersect("pattern", known))).alias("p"), "source", "tokens", "supply")
+    begin = F.coalesce(F.sum("tokens").over(W.partitionBy("p").orderBy("source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    step = F.struct("source", "begin", "tokens", (-_floor_div(-F.col("tokens"), F.col("supply"))).alias("cap"))
+    whole = one.withColumn("begin", begin).groupBy("p", "supply").agg(F.sort_array(F.collect_list(step)).alias("steps"), F.sum("tokens").alias("all"))
+    return whole.select("p", "supply", "steps", (-_floor_div(-F.col("all"), F.col("supply"))).alias("most"))
+
+
 def select_documents(docs: DataFrame, plan: DataFrame, seed: int = SEED, local_documents: int = LOCAL_DOCUMENTS) -> DataFrame:
-    """``doc_id, source, repeats, n_tokens``: whole passes over a pattern, and for the rest its documents in seeded order, each that still fits.
-
-    No quota is exceeded, and what stays empty of a rest is less than the
-    shortest document that the rest leaves out. A pass takes the documents
-    before the first one that exceeds the rest; the running token counts are
-    distributed over hash ranges and the plan (a row per pattern and source)
-    is broadcast. Then the rest is less than one document. Of those that still
-    fit, only the first of each size that fit it together can follow: at most
-    rest x (1 + ln rest) for a rest, however many documents there are. With at
-    most ``local_documents`` of them, one task per pattern and source ends the
-    work by the same rule; else the pass is repeated on them.
+    """``doc_id, source, repeats, n_tokens``: how often each source uses each document, in seeded order.
+
+    The documents of a pattern lie in one seeded order, end to end and over
+    and over again; its sources take consecutive intervals of that line as
+    long as their tokens in the plan, and use each copy that lies within. Uses
+    of a document by all sources together thus differ by one at most, and none
+    is used more often than the plan's tokens need: no document exceeds its
+    cap, whatever sources it has.
+
+    Copies across the end of an interval leave a rest. It is filled with the
+    documents that have a use left, in order, each that still fits; where a
+    pattern has several sources, each such document is offered to one of them,
+    by lot. No quota is exceeded, and what stays empty of a rest is less than
+    the shortest document offered to it and not taken.
+
+    The running token counts are distributed over hash ranges; the plan has a
+    row per pattern and source. Of the documents that fit a rest, only the
+    first of each size that fit it together can follow: at most
+    rest x (1 + ln rest), however many there are, and a rest is shorter than
+    two documents. With at most ``local_documents`` of them, one task per
+    pattern and source ends the work by the same rule; else a pass takes those
+    before the first that exceeds the rest, and so on.
+
+    Defined cases: documents without a planned source or tokens aren't used; an
+    empty plan uses none; equal doc_ids are documents of their own, whose uses
+    come out together.
     """
-    sources = plan.select("source").distinct()
-    names = [r["source"] for r in sources.collect()]
+    names = [r["source"] for r in plan.select("source").distinct().collect()]
     if not names:
         return docs.select("doc_id", F.lit("").alias("source"), F.lit(0).cast("long").alias("repeats"), "n_tokens").limit(0)
     pattern = F.concat_ws("|", F.array_sort(F.array_intersect("sources", F.array(*[F.lit(s) for s in names]))))
-    steps = plan.select(F.concat_ws("|", F.filter("pattern", lambda x: x.isin(names))).alias("p"), "source", F.floor(F.col("tokens") / F.col("supply")).alias("passes"), (F.col("tokens") % F.col("supply")).alias("rest"))
-    rows = docs.where(F.col("n_tokens") > 0).withColumn("p", pattern).join(F.broadcast(steps), "p")
-    rows = rows.select("doc_id", "source", "n_tokens", "p", "passes", "rest", F.xxhash64("doc_id", "source", F.lit(seed)).alias("position"))
-    parts: list[DataFrame] = []
-
-    def keep(part: DataFrame, more: int) -> None:
-        repeats = F.col("passes") + F.lit(more)
-        parts.append(part.select("doc_id", "source", repeats.cast("long").alias("repeats"), "n_tokens").where("repeats > 0"))
+    rows = docs.where(F.col("n_tokens") > 0).select("doc_id", "n_tokens", pattern.alias("p")).join(small(_per_pattern(plan)), "p")
+    rows = rows.withColumn("position", F.xxhash64("doc_id", "p", F.lit(seed)))
+    line = cumulative_before(rows, ["p"], F.col("position"), "doc_id", F.col("n_tokens"))
+    end = lambda s: s["begin"] + s["tokens"] - F.col("before") - F.col("n_tokens")
+    within = lambda s: F.greatest(_floor_div(end(s), F.col("supply")) + _floor_div(F.col("before") - s["begin"], F.col("supply")) + 1, F.lit(0))
+    line = line.withColumn("uses", F.transform("steps", within)).drop("before")
+    line = checkpointed(line)
+    used = line.select("doc_id", "p", "n_tokens", F.posexplode("uses").alias("i", "repeats"), "steps").select("doc_id", "p", F.col("steps")[F.col("i")]["source"].alias("source"), "repeats", "n_tokens").where("repeats > 0")
+    parts = [used.select("doc_id", "source", "repeats", "n_tokens")]
+
+    taken = used.groupBy("p", "source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("taken"))
+    one = _per_pattern(plan).select("p", F.posexplode("steps").alias("i", "s")).select("p", "i", F.col("s.source").alias("source"), F.col("s.tokens").alias("tokens"))
+    rests = one.join(taken, ["p", "source"], "left").withColumn("rest", F.col("tokens") - F.coalesce("taken", F.lit(0)))
+    rests = checkpointed(rests.groupBy("p").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "rest"))), lambda x: x["rest"]).alias("rests")))
+    spare = line.where(F.aggregate("uses", F.lit(0).cast("long"), lambda a, x: a + x) < F.col("most")).join(small(rests), "p")
+    able = F.filter(F.sequence(F.lit(0), F.size("steps") - 1), lambda i: (F.col("uses")[i] < F.col("steps")[i]["cap"]) & (F.col("rests")[i] >= F.col("n_tokens")))
+    lot = F.get("able", F.pmod(F.xxhash64("position"), F.size("able")).cast("int"))
+    spare = spare.withColumn("able", able).where(F.size("able") > 0).withColumn("i", lot)
+    rows = spare.select("doc_id", F.col("steps")[F.col("i")]["source"].alias("source"), "n_tokens", "p", F.col("rests")[F.col("i")].alias("rest"), "position")
 
     fits = F.col("before") + F.col("n_tokens") <= F.col("rest")
+    once = lambda df: df.select("doc_id", "source", F.lit(1).cast("long").alias("repeats"), "n_tokens")
     while True:
-        keep(rows.where("n_tokens > rest"), 0)
-        done = checkpointed(cumulative_before(rows.where("n_tokens <= rest"), ["p", "source"], F.col("position"), "doc_id", F.col("n_tokens")).withColumn("chosen", fits).drop("before"))
-        keep(done.where("chosen"), 1)
-        taken = done.where("chosen").groupBy("p", "source").agg(F.sum("n_tokens").alias("taken"))
-        left = done.where("NOT chosen").join(F.broadcast(taken), ["p", "source"]).withColumn("rest", F.col("rest") - F.col("taken")).drop("taken", "chosen")
-        keep(left.where("n_tokens > rest"), 0)
-        able = cumulative_before(left.where("n_tokens <= rest"), ["p", "source", "n_tokens"], F.col("position"), "doc_id", F.col("n_tokens"))
-        able = checkpointed(able.withColumn("able", fits).drop("before"))
-        keep(able.where("NOT able"), 0)
-        rows = able.where("able").drop("able")
+        able_ = cumulative_before(rows.where("n_tokens <= rest"), ["p", "source", "n_tokens"], F.col("position"), "doc_id", F.col("n_tokens"))
+        rows = checkpointed(able_.where(fits).drop("before"))
         if rows.count() <= local_documents:
             break
+        done = checkpointed(cumulative_before(rows, ["p", "source"], F.col("position"), "doc_id", F.col("n_tokens")).withColumn("chosen", fits).drop("before"))
+        parts.append(once(done.where("chosen")))
+        got = done.where("chosen").groupBy("p", "source").agg(F.sum("n_tokens").alias("got"))
+        rows = done.where("NOT chosen").join(got, ["p", "source"]).withColumn("rest", F.col("rest") - F.col("got")).drop("got", "chosen")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    last = checkpointed(rows.groupBy("p", "source").applyInArrow(_first_fit, kinds + ", chosen boolean"))
-    keep(last.where("chosen"), 1)
-    keep(last.where("NOT chosen"), 0)
-    return reduce(DataFrame.unionByName, parts)
+    last = rows.groupBy("p", "source").applyInArrow(_first_fit, kinds + ", chosen boolean")
+    parts.append(once(last.where("chosen")))
+    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "source", "n_tokens").agg(F.sum("repeats").alias("repeats")).select("doc_id", "source", "repeats", "n_tokens")
 
 
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

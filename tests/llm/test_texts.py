@@ -1,5 +1,6 @@
 """Problems 7 to 10 against brute force, exact round trips and held-out accuracy."""
 
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -159,6 +160,66 @@ def test_mix_fills_the_rest_with_every_document_that_fits(spark, local):
         assert 0 <= left[s] < min(n for i, x, n in docs if x == [s] and i not in want)
 
 
+def test_no_document_exceeds_its_cap_over_all_sources(spark):
+    df = frame(spark, [(i, ["a", "b"], 1) for i in range(400)], "doc_id long, sources array<string>, n_tokens long")
+    plan, _ = mixture.mixture_plan(df, frame(spark, [("a", 0.75, 2, 800), ("b", 0.25, 2, 800)], "source string, target_weight double, max_repeats int, total_tokens long"))
+    uses, size = defaultdict(int), defaultdict(int)
+    for r in mixture.select_documents(df, plan).collect():
+        uses[r.doc_id] += r.repeats
+        size[r.source] += r.repeats
+    assert size == {"a": 600, "b": 200} and set(uses.values()) == {2}
+
+
+@pytest.mark.parametrize("local", [0, 500_000])
+def test_overlapping_sources_share_their_documents(spark, local):
+    rng = random.Random(15)
+    docs = [(i, rng.choice([["a"], ["a", "b"], ["b", "c"], ["a", "b", "c"]]), rng.randrange(1, 80)) for i in range(500)]
+    targets = [("a", 0.4, 3, 40_000), ("b", 0.3, 2, 40_000), ("c", 0.3, 3, 40_000)]
+    caps, quota = {s: m for s, _, m, _ in targets}, {s: w * t for s, w, _, t in targets}
+    df = frame(spark, docs, "doc_id long, sources array<string>, n_tokens long")
+    plan, report = mixture.mixture_plan(df, frame(spark, targets, "source string, target_weight double, max_repeats int, total_tokens long"))
+    planned = {r.source: r.planned_tokens for r in report.collect()}
+    uses, size = defaultdict(int), defaultdict(int)
+    for r in mixture.select_documents(df, plan, local_documents=local).collect():
+        own = docs[r.doc_id][1]
+        assert r.source in own and 0 < r.repeats <= caps[r.source] and r.n_tokens == docs[r.doc_id][2]
+        uses[r.doc_id] += r.repeats
+        size[r.source] += r.repeats * r.n_tokens
+    assert all(n <= max(caps[s] for s in docs[d][1]) for d, n in uses.items())
+    for s in caps:
+        assert size[s] <= planned[s] <= quota[s] + 1 and size[s] >= planned[s] - 60, (s, size[s], planned[s])
+
+
+def test_flow_is_not_improved_by_moving_a_token():
+    rng = random.Random(16)
+    for _ in range(60):
+        names = "abcd"[: rng.randrange(1, 5)]
+        patterns = {tuple(sorted(rng.sample(names, rng.randrange(1, len(names) + 1)))) for _ in range(5)}
+        supply = [(p, rng.randrange(1, 5)) for p in sorted(patterns)]
+        targets = [{"source": s, "weight": rng.random(), "max_repeats": rng.randrange(0, 4), "total": 12} for s in names]
+        used, short = mixture.route(supply, targets)
+
+        quota = {t["source"]: math.ceil(t["weight"] * 12) for t in targets}
+        most = {t["source"]: t["max_repeats"] for t in targets}
+        cost = lambda uses: sum(sum(i // n + 1 for i in range(sum(uses.get((p, s), 0) for s in p))) + sum(i // n + 1 for s in p for i in range(uses.get((p, s), 0))) for p, n in supply)
+        allowed = lambda uses: all(v <= n * most[s] for p, n in supply for s in p if (v := uses.get((p, s), 0))) and all(sum(uses.get((p, s), 0) for s in p) <= n * max(most[s] for s in p) for p, n in supply)
+        assert allowed(used) and all(sum(v for (p, s), v in used.items() if s == x) + short[x] == quota[x] for x in names)
+        moved = True  # no exchange of one token between two patterns or sources makes it cheaper or fuller
+        for (p, s), v in [*used.items()]:
+            for (q, t) in [(q, t) for q, _ in supply for t in q]:
+                if v and (q, t) != (p, s) and (t == s or short[t]):
+                    other = dict(used)
+                    other[p, s] -= 1
+                    other[q, t] = other.get((q, t), 0) + 1
+                    moved = moved and (t != s or not allowed(other) or cost(other) >= cost(used))
+        for q, _ in supply:
+            for t in q:
+                other = dict(used)
+                other[q, t] = other.get((q, t), 0) + 1
+                moved = moved and (not short[t] or not allowed(other))
+        assert moved
+
+
 def test_mix_empty(spark):
     docs = frame(spark, [], "doc_id long, sources array<string>, n_tokens long")
     plan, report = mixture.mixture_plan(docs, frame(spark, [], "source string, target_weight double, max_repeats int, total_tokens long"))
