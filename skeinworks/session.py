@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SKEIN_DRIVER_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -32,17 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a folder of this machine only in local mode without it."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        made = tempfile.mkdtemp(prefix="skein-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", made)
+        return made
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
 def _checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        if sc.master.startswith("local[") or sc.master == "local":
-            given = tempfile.mkdtemp(prefix="skein-checkpoint-")
-        else:  # the warehouse is shared by all executors, a temporary folder of one machine is not
-            given = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_skein_checkpoints"
-    sc.setCheckpointDir(given)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_dir(spark))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -55,6 +62,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more (a loop's earlier rounds).
+
+    Others go when the session's cleaner finds them unused
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
+    for df in frames:
+        place = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if place.isDefined():
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(place.get())
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if a count proves it small; else leave it to a shuffle join.
 
