@@ -19,7 +19,9 @@ PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 METRICS = ["mean", "high_frequency_residual_std"]
 #: Fixed value: pixel statistics of 8-bit images.
 LOW, HIGH = 0.0, 255.0
-#: Branches of the first merge level.
+#: Stated bound of the rank error, besides half a value: a centroid at the median covers pi / (2 DELTA) of the ranks; more than twice that for merging.
+BOUND = 0.01
+#: Digests that are merged in one step.
 FAN = 64
 
 
@@ -85,8 +87,10 @@ def partial_digests(values: DataFrame, keys: list[str], delta: int = DELTA) -> D
 
 
 def merge_digests(digests: DataFrame, keys: list[str], delta: int = DELTA, fan: int = FAN) -> DataFrame:
-    """Merge all digests of a key by re-clustering, in two levels so that a hot key has ``fan`` tasks first.
+    """Merge all digests of a key by re-clustering, in a tree whose nodes have about ``fan`` digests each.
 
+    The depth follows from the greatest number of digests of a key, so a task
+    never holds more than a few times ``fan`` of them, however hot the key.
     Any digests of these columns can be merged: of partitions, of days, or
     earlier merged ones. Returns ``keys, means, weights``.
     """
@@ -98,9 +102,15 @@ def merge_digests(digests: DataFrame, keys: list[str], delta: int = DELTA, fan:
         _, m, w = cluster(np.zeros(len(m), int), m, w, delta)
         return pd.DataFrame({**{k: [f[k].iloc[0]] for k in keys}, "means": [m], "weights": [w]})
 
-    spread = digests.select(*keys, "means", "weights", F.pmod(F.xxhash64("means"), F.lit(fan)).alias("branch"))
-    first = spread.groupBy(*keys, "branch").applyInPandas(lambda f: run(f), schema)
-    return first.groupBy(*keys).applyInPandas(lambda f: run(f), schema)
+    digests = checkpointed(digests.select(*keys, "means", "weights"))
+    most = digests.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while True:
+        branches = max(1, -(-most // fan)) if most > fan else 1
+        spread = digests.withColumn("branch", F.pmod(F.xxhash64("means", "weights"), F.lit(branches)))
+        digests = spread.groupBy(*keys, "branch").applyInPandas(lambda f: run(f), schema)
+        most = branches
+        if branches == 1:
+            return digests
 
 
 def quantiles(means: np.ndarray, weights: np.ndarray, ps: list[float]) -> np.ndarray:
@@ -176,11 +186,17 @@ def blank_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of both metrics per condition and DIV with certified rank errors."""
-    return percentiles(blank_values(spark, sf_dir), STRATUM)
+    return percentiles(checkpointed(blank_values(spark, sf_dir)), STRATUM)
+
+
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of values behind each percentile, and whether its certified rank error keeps the bound, ``BOUND`` and half a value."""
+    found = p7_percentiles(spark, sf_dir)
+    return found.select(*STRATUM, "p", "n", (F.col("rank_error") <= BOUND + 0.5 / F.col("n")).alias("within_bound"))
 
 
 def p7_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from digests kept per day of computed_at and put together afterwards."""
-    values = blank_values(spark, sf_dir)
+    values = checkpointed(blank_values(spark, sf_dir))
     days = checkpointed(partial_digests(values, [*STRATUM, "day"]))  # what a daily job would store
     return certified(values, estimates(merge_digests(days, STRATUM), STRATUM, PERCENTILES), STRATUM, PERCENTILES)

@@ -4,65 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spelling as S
-from ..session import checkpointed, small, table
+from ..session import checkpointed, release, small, table
 from .common import cumulative_before, current_splits
 
-#: With as few edges left, one task ends the contraction.
-LOCAL_EDGES = 500_000
-#: Blocks above this part of all records are dealt one by one; there can't be more than its inverse.
-LARGE_PART = 1 / 2000
 SEED = 41
+#: A share further from its target than this counts as a violation in p4_violations.
+SHARE_ERROR = 0.01
 
 
-def local_boruvka(cu: np.ndarray, cv: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Borůvka over edges given from light to heavy: (component label of each code, which edges are in the forest)."""
-    label, chosen, alive = np.arange(n), np.zeros(len(cu), bool), np.arange(len(cu))
-    while len(alive):
-        a, b = label[cu[alive]], label[cv[alive]]
-        open_ = a != b
-        alive, a, b = alive[open_], a[open_], b[open_]
-        if not len(alive):
-            break
-        best = np.full(n, len(alive))
-        np.minimum.at(best, a, np.arange(len(alive)))
-        np.minimum.at(best, b, np.arange(len(alive)))
-        comps = np.flatnonzero(best < len(alive))
-        pick = best[comps]
-        other = np.where(a[pick] == comps, b[pick], a[pick])
-        parent = np.arange(n)
-        parent[comps] = other
-        mutual = (parent[other] == comps) & (comps < other)
-        parent[comps[mutual]] = comps[mutual]
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-        chosen[alive[pick]] = True
-        label = parent[label]
-    return label, chosen
-
-
-def _finish(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["w", "u", "v"], kind="stable")
-    codes, names = pd.factorize(pd.concat([frame["cu"], frame["cv"]], ignore_index=True), sort=True)
-    m = len(frame)
-    label, chosen = local_boruvka(codes[:m], codes[m:], len(names))
-    names = np.asarray(names, dtype=object)
-    tree = frame[chosen]
-    return pd.concat([
-        pd.DataFrame({"kind": "label", "a": names, "b": names[label]}),
-        pd.DataFrame({"kind": "edge", "a": tree["u"].to_numpy(object), "b": tree["v"].to_numpy(object)}),
-    ])
-
-
-def spanning_forest(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame]:
+def _jumped(up: DataFrame) -> DataFrame:
+    """Parents ``c, p`` and the parents' parents ``q``."""
+    return up.join(up.select(F.col("c").alias("p"), F.col("p").alias("q")), "p").select("c", "p", "q")
+
+
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(forest, labels) of the graph with edges ``u, v``: forest ``u, v``; labels ``vertex, root``.
 
     Each component picks its lightest outgoing edge (weights are hashes of the
@@ -70,8 +29,8 @@ def spanning_forest(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[D
     jumping, and edges inside a component are dropped and parallel ones merged.
     The number of components at least halves per round. A hot component's
     pick is a map-side combined minimum; the relabelling joins are sort-merge
-    joins that AQE splits. When at most ``local_edges`` contracted edges are
-    left, one task finishes by the same rule. Both results are checkpointed.
+    joins that AQE splits. Rounds go on until no edge is left, at every size.
+    Both results are checkpointed.
 
     Defined cases: null ends and self edges link nothing, repeated and
     reversed edges count once, an empty graph gives two empty results.
@@ -79,36 +38,40 @@ def spanning_forest(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[D
     ends = edges.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v")).where("u <> v")
     left = ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     left = checkpointed(left.select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.xxhash64("u", "v").alias("w"), "u", "v"))
+    none = left
     trees, steps = [], []
-    while left.count() > local_edges:
+    while left.limit(1).count():
         e = F.struct("w", "u", "v")
-        both = left.select(F.col("cu").alias("c"), F.col("cv").alias("o"), e.alias("e")).unionByName(left.select(F.col("cv").alias("c"), F.col("cu").alias("o"), e.alias("e")))
-        best = checkpointed(both.groupBy("c").agg(F.min(F.struct("e", "o")).alias("b")).select("c", "b.o", "b.e"))
+        both = left.select(F.explode(F.array(F.struct(F.col("cu").alias("c"), F.col("cv").alias("o"), e.alias("e")), F.struct(F.col("cv").alias("c"), F.col("cu").alias("o"), e.alias("e")))).alias("x"))
+        best = checkpointed(both.groupBy("x.c").agg(F.min(F.struct("x.e", "x.o")).alias("b")).select("c", "b.o", "b.e"))
         trees.append(best.select("e.u", "e.v").distinct())
         back = best.select(F.col("c").alias("o"), F.col("o").alias("oo"))
-        up = checkpointed(best.join(back, "o").select("c", F.when((F.col("oo") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p")))
+        up = best.join(back, "o").select("c", F.when((F.col("oo") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p"))
+        old = None
         while True:
-            jumped = checkpointed(up.join(up.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p").select("c", "p", F.col("pp")))
-            moved = jumped.where("p <> pp").limit(1).count()
-            up = jumped.select("c", F.col("pp").alias("p"))
+            jumped = checkpointed(_jumped(_jumped(up).select("c", F.col("q").alias("p"))))
+            if old is not None:
+                release(old)
+            old, moved, up = jumped, jumped.where("p <> q").limit(1).count(), jumped.select("c", F.col("q").alias("p"))
             if not moved:
                 break
         steps.append(up)
         root = lambda x: up.select(F.col("c").alias(x), F.col("p").alias("n" + x))  # noqa: B023, E731
         moved_edges = left.join(root("cu"), "cu").join(root("cv"), "cv").where("ncu <> ncv")
         merged = moved_edges.groupBy(F.least("ncu", "ncv").alias("cu"), F.greatest("ncu", "ncv").alias("cv")).agg(F.min(e).alias("e"))
-        left = checkpointed(merged.select("cu", "cv", "e.w", "e.u", "e.v"))
-    done = checkpointed(left.groupBy(F.lit(0).alias("one")).applyInPandas(lambda f: _finish(f), "kind string, a string, b string"))
-    trees.append(done.where("kind = 'edge'").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    label = done.where("kind = 'label'").select(F.col("a").alias("c"), F.col("b").alias("p"))
-    for up in reversed(steps):
+        done, left = left, checkpointed(merged.select("cu", "cv", "e.w", "e.u", "e.v"))
+        release(done)
+    if not steps:
+        return none.select("u", "v"), none.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
+    label = steps[-1]
+    for up in reversed(steps[:-1]):
         higher = label.select(F.col("c").alias("p"), F.col("p").alias("pp"))
         label = up.join(higher, "p", "left").select("c", F.coalesce("pp", "p").alias("p"))
-    forest = reduce(DataFrame.unionByName, trees).distinct()
-    return (checkpointed(forest) if steps else forest), label.select(F.col("c").alias("vertex"), F.col("p").alias("root"))
+    forest = checkpointed(reduce(DataFrame.unionByName, trees).distinct())
+    return forest, label.select(F.col("c").alias("vertex"), F.col("p").alias("root"))
 
 
-def blocks_of(records: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def blocks_of(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, blocks, forest) of records ``stable_image_id, groups, eligibility, synthetic_split``.
 
     Without ``groups`` they are those of the columns ``bio`` and ``acq``.
@@ -121,7 +84,7 @@ def blocks_of(records: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[DataF
     records = checkpointed(records.select("stable_image_id", groups.alias("groups"), "eligibility", "synthetic_split"))  # read three times below
     first = F.get("groups", F.lit(0))
     pairs = records.where(F.size("groups") > 1).select(first.alias("u"), F.explode(F.slice("groups", F.lit(2), F.size("groups"))).alias("v")).distinct()
-    forest, label = spanning_forest(pairs, local_edges)
+    forest, label = spanning_forest(pairs)
     members = records.withColumn("vertex", F.coalesce(first, F.concat(F.lit("r:"), "stable_image_id")))
     per = members.groupBy("vertex").agg(
         F.min("stable_image_id").alias("first"), F.count(F.lit(1)).alias("n"),
@@ -136,11 +99,13 @@ def blocks_of(records: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[DataF
 def deal_blocks(blocks: DataFrame, targets: list[tuple[str, float]], seed: int = SEED) -> DataFrame:
     """Deal blocks (``block_id, n``) to splits in the shares of ``targets``; ``block_id, n, split``.
 
-    Blocks above ``LARGE_PART`` of all records, of which there are at most its
-    inverse, are placed one by one, largest first, where most is missing. The
-    others are stratified into size bands (powers of two) and each band is
-    dealt systematically along a hash order in the shares still missing. The
-    running sums are distributed (``cumulative_before``).
+    Blocks are stratified into size bands (powers of two, at most 63). From
+    the band of the largest on, each is dealt systematically along a hash
+    order: a split takes the blocks whose middle lies in its part of the band,
+    and the parts are what the splits are still short of after the bands
+    before. A block of a third of all records is thus dealt like any other,
+    and smaller ones make up for it. The running sums are distributed
+    (``cumulative_before``); a row per split and band reaches the driver.
 
     Defined cases: no targets is an error; shares are normalised; no blocks
     give no rows; equal hashes are ordered by block id.
@@ -148,27 +113,29 @@ def deal_blocks(blocks: DataFrame, targets: list[tuple[str, float]], seed: int =
     whole = sum(max(0.0, s) for _, s in targets)
     if not whole > 0:
         raise ValueError("split targets need a positive share")
-    targets = [(name, max(0.0, s) / whole) for name, s in sorted(targets)]
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    big = blocks.where(F.col("n") > total * LARGE_PART).orderBy(F.desc("n"), "block_id").collect()
-    missing = {name: s * total for name, s in targets}
-    placed = []
-    for b in big:
-        name = max(missing, key=lambda x: (missing[x], x))
-        missing[name] -= b["n"]
-        placed.append((b["block_id"], b["n"], name))
-    open_ = {name: max(0.0, x) for name, x in missing.items()}
-    scale = sum(open_.values()) or 1.0
-    rest = blocks.where(F.col("n") <= total * LARGE_PART).withColumn("band", F.floor(F.log2("n")))
-    rest = cumulative_before(rest, ["band"], F.xxhash64("block_id", F.lit(seed)), "block_id", F.col("n"))
-    bands = rest.groupBy("band").agg(F.sum("n").alias("size"))
-    at = (F.col("before") + F.col("n") / 2) / F.col("size")
-    split, upto = F.lit(targets[-1][0]), 1.0
-    for name, _ in reversed(targets):
-        upto -= open_[name] / scale
-        split = F.when(at < upto + open_[name] / scale, F.lit(name)).otherwise(split)
-    dealt = rest.join(bands, "band").select("block_id", "n", split.alias("split"))
-    return dealt.unionByName(blocks.sparkSession.createDataFrame(placed, "block_id string, n long, split string"))
+    share = {name: max(0.0, s) / whole for name, s in sorted(targets)}
+    rows = blocks.select("block_id", "n").withColumn("band", F.floor(F.log2("n")).cast("int"))
+    key = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), "block_id"), 256), 1, 15), 16, 10).cast("long")
+    rows = checkpointed(cumulative_before(rows, ["band"], F.shiftleft(key, 4), "block_id", F.col("n")))
+    sizes = {r["band"]: r["size"] for r in rows.groupBy("band").agg(F.sum("n").alias("size")).collect()}
+    got, upto, split = dict.fromkeys(share, 0), 0, F.lit(None).cast("string")
+    for band in sorted(sizes, reverse=True):
+        upto += sizes[band]
+        open_ = {name: max(0.0, share[name] * upto - got[name]) for name in share}
+        scale, edge, names = sizes[band] / (sum(open_.values()) or 1.0), 0.0, list(share)
+        here = F.lit(max(names, key=lambda x: (open_[x], x)))
+        middle = F.col("before") + F.col("n") / 2
+        edges = []
+        for name in names:
+            edge += open_[name] * scale
+            edges.append((name, edge))
+        for name, at in reversed(edges):
+            if open_[name] > 0:
+                here = F.when(middle < at, F.lit(name)).otherwise(here)
+        split = F.when(F.col("band") == band, here).otherwise(split)
+        for r in rows.where(F.col("band") == band).groupBy(here.alias("s")).agg(F.sum("n").alias("n")).collect():
+            got[r["s"]] += r["n"]
+    return rows.select("block_id", "n", split.alias("split"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +159,32 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(blocks.select("vertex", "block_id"), "vertex").join(dealt.select("block_id", "split"), "block_id").select("stable_image_id", "block_id", "split")
 
 
+def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block with its records and whether it is torn today."""
+    _, blocks, _ = blocks_of(current_splits(spark, sf_dir))
+    return blocks.select("block_id", "n", "torn").distinct()
+
+
+def p4_forest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices, edges and trees of the persisted forest: a tree has an edge less than vertices."""
+    forest = p4_forest(spark, sf_dir)
+    ends = forest.select(F.explode(F.array("u", "v")).alias("x")).distinct()
+    _, label = spanning_forest(forest)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(ends, "n_vertices").crossJoin(count(forest, "n_edges")).crossJoin(count(label.select("root").distinct(), "n_trees"))
+
+
+def p4_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that the new splits break: a record dealt not at all or twice, a block in two splits, a share off by a block of the last band or more."""
+    records = current_splits(spark, sf_dir).select("stable_image_id")
+    dealt = checkpointed(p4_splits(spark, sf_dir))
+    per = dealt.groupBy("stable_image_id").agg(F.count(F.lit(1)).alias("n"))
+    lost = records.join(per, "stable_image_id", "full").where(F.coalesce("n", F.lit(0)) != 1).select(F.lit("record").alias("rule"), F.col("stable_image_id").alias("entity"))
+    torn = dealt.groupBy("block_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select(F.lit("block").alias("rule"), F.col("block_id").alias("entity"))
+    shares = p4_shares(spark, sf_dir).where(F.abs(F.col("share") - F.col("target_share")) > SHARE_ERROR).select(F.lit("share").alias("rule"), F.col("split").alias("entity"))
+    return lost.unionByName(torn).unionByName(shares)
+
+
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of each split."""
     got = p4_splits(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("block_id").alias("n_blocks"))

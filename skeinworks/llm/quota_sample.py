@@ -3,50 +3,54 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spelling as S
-from ..session import checkpointed, table
+from ..session import checkpointed, small, table
 from .common import cumulative_before, image_rows
 
-#: Categories a target table may have; it is a fixed table of up to 60 rows.
-MOST_CATEGORIES = 100_000
 SEED = 5
 
 
 def allocate(targets: list[dict], size: int) -> dict:
     """Integer quotas by largest remainder, with floors and caps.
 
-    targets: ``key, share, floor, available``. Every quota is at least
-    min(floor, available) and at most available. What is left of ``size`` is
-    shared in proportion by largest remainder among the categories that still
-    have rows, again and again until it is spent or nothing is available.
-    Ties go to the smaller key.
+    targets: ``key, share, floor, available``. Quotas are in proportion to the
+    shares, but at least min(floor, available) and at most available: where
+    the proportion falls short of floors or exceeds caps, those are fixed,
+    whichever weigh more first, and what is left of ``size`` is shared again
+    among the others. A category without share gets its floor only. Floors
+    beyond ``size`` are kept. Remainders are rounded up from the largest on;
+    ties go to the smaller key.
     """
-    quota = {t["key"]: min(t["floor"], t["available"]) for t in targets}
-    by = {t["key"]: t for t in targets}
-    # first up to the exact share, then what short categories leave
-    want = {k: max(quota[k], min(by[k]["available"], math.floor(by[k]["share"] * size + 1e-9))) for k in quota}
-    over = sum(want.values()) - size
-    for k in sorted(want, key=lambda k: (-(want[k] - quota[k]), str(k))):
-        if over > 0:
-            cut = min(over, want[k] - quota[k])
-            want[k], over = want[k] - cut, over - cut
-    quota = want
-    while (rest := size - sum(quota.values())) > 0:
-        open_ = [k for k in quota if quota[k] < by[k]["available"] and by[k]["share"] > 0]
-        if not open_:
+    low = {t["key"]: min(t["floor"], t["available"]) for t in targets}
+    high = {t["key"]: t["available"] if t["share"] > 0 else low[t["key"]] for t in targets}
+    share = {t["key"]: Fraction(t["share"]) for t in targets}
+    exact, free = dict(low), {k for k in low if low[k] < high[k]}
+    if sum(low.values()) >= size:
+        return low
+    while free:
+        left = size - sum(exact[k] for k in exact if k not in free)
+        whole = sum(share[k] for k in free)
+        wanted = {k: left * share[k] / whole for k in free}
+        under = {k for k in free if wanted[k] < low[k]}
+        over = {k for k in free if wanted[k] > high[k]}
+        exact.update(wanted)
+        if not under and not over:
             break
-        scale = sum(by[k]["share"] for k in open_)
-        exact = {k: rest * by[k]["share"] / scale for k in open_}
-        add = {k: min(by[k]["available"] - quota[k], math.floor(exact[k])) for k in open_}
-        spare = rest - sum(add.values())
-        for k in sorted(open_, key=lambda k: (-(exact[k] - math.floor(exact[k])), str(k))):
-            if spare > 0 and quota[k] + add[k] < by[k]["available"]:
-                add[k], spare = add[k] + 1, spare - 1
-        quota = {k: quota[k] + add.get(k, 0) for k in quota}
+        if sum(low[k] - wanted[k] for k in under) >= sum(wanted[k] - high[k] for k in over):
+            exact.update({k: low[k] for k in under})
+            free -= under
+        else:
+            exact.update({k: high[k] for k in over})
+            free -= over
+    quota = {k: math.floor(x) for k, x in exact.items()}
+    spare = round(sum(exact.values())) - sum(quota.values())
+    for k in sorted(exact, key=lambda k: (quota[k] - exact[k], str(k)))[:spare]:
+        quota[k] += 1
     return quota
 
 
@@ -64,16 +68,14 @@ def category_report(records: DataFrame, targets: DataFrame) -> DataFrame:
     counts = records.groupBy("category", "grp").agg(F.count(F.lit(1)).alias("n")).groupBy("category").agg(F.sum("n").alias("available"), F.count("grp").alias("groups"))
     zero = lambda c: F.coalesce(F.max(c), F.lit(0))
     wanted = targets.groupBy("category").agg(zero("target_share").cast("double").alias("target_share"), zero("min_images").cast("long").alias("min_images"), zero("min_groups").cast("long").alias("min_groups"), zero("sample_size").cast("long").alias("sample_size"))
-    rows = wanted.join(counts, "category", "left").limit(MOST_CATEGORIES + 1).collect()
-    if len(rows) > MOST_CATEGORIES:
-        raise ValueError(f"more than {MOST_CATEGORIES} target categories")
+    rows = wanted.join(counts, "category", "left").collect()
     size = max([r["sample_size"] for r in rows], default=0)
     quota = allocate([{"key": r["category"], "share": r["target_share"], "floor": r["min_images"], "available": r["available"] or 0} for r in rows], size)
-    out = []
+    excess, out = max(0, sum(quota.values()) - size), []
     for r in rows:
         have, groups, need = r["available"] or 0, r["groups"] or 0, max(float(r["min_images"]), r["target_share"] * r["sample_size"])
-        out.append((r["category"], r["target_share"], r["min_images"], r["min_groups"], r["sample_size"], have, groups, quota[r["category"]], need, have < need, groups < r["min_groups"]))
-    return records.sparkSession.createDataFrame(out, "category string, target_share double, min_images long, min_groups long, sample_size long, available long, groups long, quota long, needed double, short_of_images boolean, short_of_groups boolean")
+        out.append((r["category"], r["target_share"], r["min_images"], r["min_groups"], r["sample_size"], have, groups, quota[r["category"]], need, have < need, groups < r["min_groups"], excess))
+    return records.sparkSession.createDataFrame(out, "category string, target_share double, min_images long, min_groups long, sample_size long, available long, groups long, quota long, needed double, short_of_images boolean, short_of_groups boolean, excess long")
 
 
 def quota_sample(records: DataFrame, report: DataFrame, seed: int = SEED) -> DataFrame:
@@ -82,16 +84,18 @@ def quota_sample(records: DataFrame, report: DataFrame, seed: int = SEED) -> Dat
     So that ``min_groups`` is kept, the first record of each of the min_groups
     smallest groups is chosen before the others. The smallest keys are found
     by distributed running counts over hash ranges, never by sorting a whole
-    category in one task; the quotas (one row per category) are broadcast.
+    category in one task; the quotas (one row per category) are broadcast if a
+    count proves them few.
     """
-    quotas = F.broadcast(report.select("category", "quota", "min_groups"))
-    keyed = records.join(quotas, "category").withColumn("k", F.xxhash64("id", F.lit(seed)))
+    quotas = small(report.select("category", "quota", "min_groups"))
+    key = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256), 1, 15), 16, 10).cast("long")
+    keyed = records.join(quotas, "category").withColumn("k", key)  # 60 bits
     heads = keyed.where("grp IS NOT NULL").groupBy("category", "grp").agg(F.min(F.struct("k", "id")).alias("head"), F.first("quota").alias("quota"), F.first("min_groups").alias("min_groups"))
-    heads = cumulative_before(heads, ["category"], F.col("head.k"), "grp", F.lit(1))
+    heads = cumulative_before(heads, ["category"], F.shiftleft("head.k", 4), "grp", F.lit(1))
     heads = heads.where(F.col("before") < F.least("min_groups", "quota")).select("category", F.col("head.id").alias("id"), F.lit(1).alias("head"))
     marked = keyed.join(heads, ["category", "id"], "left")
     # chosen heads come first; the ranges of others start behind them
-    order = F.when(F.col("head") == 1, F.shiftrightunsigned("k", 1)).otherwise(F.shiftrightunsigned("k", 1).bitwiseOR(F.lit(-(2**63))))
+    order = F.when(F.col("head") == 1, F.shiftleft("k", 3)).otherwise(F.shiftleft("k", 3).bitwiseOR(F.lit(-(2**63))))
     ranked = cumulative_before(marked, ["category"], order, "id", F.lit(1), out="ahead", bits=13)
     return ranked.where("ahead < quota").select("id", "category", "grp")
 

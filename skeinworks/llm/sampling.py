@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .common import image_rows
 
 SHARE = 0.1
 SEED = "stable-sample-1"
+#: p1_state: when the second run sees more rows, and the weight of an image in a near-duplicate group.
+GROWN_AT, GROUPED = "2024-06-01 00:00:00", 0.5
 #: 52 bits of the identifier's SHA-256 are exact in a double.
 _RANGE = 2.0**52
 
@@ -55,3 +58,17 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many images there are and how many are chosen."""
     states = poisson_sample(image_rows(spark, sf_dir), "stable_image_id", SHARE)
     return states.agg(F.count(F.lit(1)).alias("n_images"), F.count_if("selected").alias("n_selected"))
+
+
+def p1_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state table after the data have grown: every image with its running-maximum weight and whether it is chosen.
+
+    The first run sees the rows that arrived before ``GROWN_AT`` and stores
+    its state; the second one reads it and sees all rows. An image weighs
+    ``GROUPED`` in a near-duplicate group and 1 outside, so resent rows that
+    gain or lose their label would change its weight; the maximum holds.
+    """
+    rows = image_rows(spark, sf_dir).select("stable_image_id", F.when(F.col("near_group").isNotNull(), F.lit(GROUPED)).otherwise(1.0).alias("weight"), "ingested_at")
+    early = rows.where(F.col("ingested_at") < F.lit(GROWN_AT).cast("timestamp"))
+    state = checkpointed(poisson_sample(early, "stable_image_id", SHARE, "weight"))
+    return poisson_sample(rows, "stable_image_id", SHARE, "weight", state.select("stable_image_id", "weight"))

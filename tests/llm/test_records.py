@@ -90,6 +90,23 @@ def test_word_shingles(spark):
     assert got[0] == ["one two three four five", "two three four five six"] and got[1] == ["a b"] and got[2] == [] and not got[3] and got[4] == []
 
 
+def test_texts_link_copies_and_near_copies(spark, tmp_path):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    texts = {}
+    for i in range(0, 300, 50):
+        base = [word() for _ in range(60)]
+        texts[i] = " ".join(base)
+        texts[i + 1] = texts[i + 2] = ", ".join(base).upper()  # the same words: a copy for the shingles
+        texts[i + 3] = " ".join([*base[:-1], "other"])  # near
+        texts[i + 4] = " ".join(w if k % 4 else "x" for k, w in enumerate(base))  # far
+    texts |= {350: "", 351: None, 400: "   ", 450: "one two", 451: "One  two!", 500: texts[0]}
+    df = frame(spark, [(k, v, "x") for k, v in texts.items()], "doc_id long, text string, token string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in overlap.p2_texts(spark, str(tmp_path)).collect()}
+    assert got == {**{i: (i, 3) for i in range(0, 300, 50)}, 450: (450, 1), 500: (0, 3)}
+
+
 # --- 3 --------------------------------------------------------------------------------------------------------------
 
 
@@ -117,15 +134,15 @@ def as_groups(df):
     return sorted(sorted(g) for g in groups.values())
 
 
-@pytest.mark.parametrize("block_edges", [7, 10_000])
-def test_components_on_chains_stars_and_noise(spark, block_edges):
+@pytest.mark.parametrize("cell_edges", [7, 10_000])
+def test_components_on_chains_stars_and_noise(spark, cell_edges):
     rng = random.Random(1)
     edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(90)]
     edges += [("hub", f"s{i}") for i in range(80)]
     edges += [(f"n{rng.randrange(70)}", f"n{rng.randrange(70)}") for _ in range(50)]
     edges += [("s1", "s1"), ("s2", "hub"), (None, "x"), ("y", None), ("hub", "s3")]
     df = frame(spark, [(*e, "extra") for e in edges], "u string, v string, root string")
-    assert as_groups(components.connected_components(df, block_edges=block_edges)) == brute_groups(edges)
+    assert as_groups(components.connected_components(df, cell_edges=cell_edges)) == brute_groups(edges)
 
 
 def test_components_empty(spark):
@@ -136,11 +153,10 @@ def test_components_empty(spark):
 # --- 4 --------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("local_edges", [5, 10_000])
-def test_spanning_forest(spark, local_edges):
+def test_spanning_forest(spark):
     rng = random.Random(2)
     edges = [(f"n{rng.randrange(80)}", f"n{rng.randrange(80)}") for _ in range(90)] + [("n1", "n1"), (None, "n2"), ("n3", "n4"), ("n4", "n3")]
-    forest, label = grouped_split.spanning_forest(frame(spark, edges, "u string, v string"), local_edges)
+    forest, label = grouped_split.spanning_forest(frame(spark, edges, "u string, v string"))
     want = brute_groups(edges)
     assert as_groups(label) == want
     tree = [(r.u, r.v) for r in forest.collect()]
@@ -168,6 +184,15 @@ def test_deal_blocks_meets_shares(spark):
         assert abs(sizes[name] / total - share) < 0.02
 
 
+def test_deal_blocks_makes_up_for_a_giant(spark):
+    data = [("giant", 1000)] + [(f"b{i:03d}", 20) for i in range(100)]
+    got = grouped_split.deal_blocks(frame(spark, data, "block_id string, n long"), [("test", 0.5), ("train", 0.5)])
+    sizes = defaultdict(int)
+    for r in got.collect():
+        sizes[r.split] += r.n
+    assert abs(sizes["test"] - 1500) <= 20 and sum(sizes.values()) == 3000
+
+
 def test_deal_blocks_edges(spark):
     empty = frame(spark, [], "block_id string, n long")
     assert grouped_split.deal_blocks(empty, [("a", 1.0)]).count() == 0
@@ -178,11 +203,35 @@ def test_deal_blocks_edges(spark):
 # --- 5 --------------------------------------------------------------------------------------------------------------
 
 
+def test_floors_beyond_the_size_are_reported(spark):
+    records = frame(spark, [(f"r{i}", "AB"[i % 2], None) for i in range(400)], "id string, category string, grp string")
+    report = quota_sample.category_report(records, frame(spark, [("A", 0.5, 80, 0, 100), ("B", 0.5, 80, 0, 100)], "category string, target_share double, min_images int, min_groups int, sample_size long"))
+    assert {(r.category, r.quota, r.excess) for r in report.collect()} == {("A", 80, 60), ("B", 80, 60)}
+
+
 def test_allocate_floors_caps_and_remainders():
     t = [{"key": "a", "share": 0.5, "floor": 0, "available": 100}, {"key": "b", "share": 0.3, "floor": 0, "available": 2}, {"key": "c", "share": 0.2, "floor": 5, "available": 100}, {"key": "d", "share": 0.0, "floor": 3, "available": 1}]
     q = quota_sample.allocate(t, 20)
     assert q["b"] == 2 and q["c"] >= 5 and q["d"] == 1 and sum(q.values()) == 20
     assert quota_sample.allocate([], 5) == {}
+    row = lambda k, s, f=0, n=1000: {"key": k, "share": s, "floor": f, "available": n}
+    assert quota_sample.allocate([row("A", 0.5), row("B", 0.5), row("C", 0.0, 40)], 100) == {"A": 30, "B": 30, "C": 40}
+    assert quota_sample.allocate([row("A", 0.4), row("B", 0.4), row("C", 0.2, 40)], 100) == {"A": 30, "B": 30, "C": 40}
+    assert quota_sample.allocate([row("A", 0.5, 80), row("B", 0.5, 80)], 100) == {"A": 80, "B": 80}
+    assert quota_sample.allocate([row("A", 0.3), row("B", 0.3), row("C", 0.4)], 10) == {"A": 3, "B": 3, "C": 4}
+    assert quota_sample.allocate([row("A", 1 / 3), row("B", 1 / 3), row("C", 1 / 3)], 10) == {"A": 4, "B": 3, "C": 3}
+    rng = random.Random(7)
+    for _ in range(300):  # in bounds, whole, and no unit is better placed elsewhere
+        t = [row(i, rng.choice([0, 0.1, 0.3, rng.random()]), rng.choice([0, 0, 5, 40]), rng.choice([0, 3, 30, 999])) for i in range(rng.randrange(1, 6))]
+        q, by = quota_sample.allocate(t, size := rng.randrange(0, 150)), {x["key"]: x for x in t}
+        low = {k: min(x["floor"], x["available"]) for k, x in by.items()}
+        high = {k: x["available"] if x["share"] else low[k] for k, x in by.items()}
+        assert all(low[k] <= q[k] <= high[k] for k in q)
+        assert sum(q.values()) == max(sum(low.values()), min(size, sum(high.values())))
+        for a in q:
+            for b in q:
+                if a != b and q[a] > low[a] and q[b] < high[b]:
+                    assert q[b] + 1 >= (q[a] - 1) * by[b]["share"] / by[a]["share"] - 1e-9
     assert quota_sample.allocate([{"key": "a", "share": 1.0, "floor": 0, "available": 3}], 10) == {"a": 3}
 
 
