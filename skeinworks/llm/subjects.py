@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spelling as S
-from ..session import checkpointed, table
+from ..session import checkpointed, small, table
 
 #: Free components for phrases of no subject.
 FREE = 3
-#: Most labelled documents that the anchors are fitted on (those with the smallest hash).
-LABELLED = 20_000
-#: Anchor rounds on the labelled sample, passes over the whole corpus, and updates of W in a pass.
-ANCHOR_ROUNDS, PASSES, INNER, LAST_INNER = 25, 3, 8, 18
+#: Most paragraphs of labelled documents that the anchors are fitted on (those of the documents with the smallest hash).
+LABELLED = 60_000
+#: Anchor rounds on the labelled sample, and updates of W in a pass over the corpus and in the last one.
+ANCHOR_ROUNDS, INNER, LAST_INNER = 3, 8, 18
+#: Passes over the corpus end when no component's term shares move by more than this in all (of 2), or after so many.
+MOVED, MOST_PASSES = 0.05, 12
 #: Weight a label leaves to subjects it doesn't name, as labels may be wrong or incomplete.
 DOUBT = 0.02
 #: Pseudo counts of W for subjects and free components; weight of the anchors in corpus passes.
@@ -30,238 +35,324 @@ COMMON, RARE = 0.15, 0.05
 #: A subject fills a paragraph with this share of its subject mass, of its whole mass, and so much of it.
 SHARE, FILL, MASS = 0.5, 0.3, 2.0
 SEED = 10
+#: Characters tokenised, and entries factored, at a time, so that memory doesn't grow with an Arrow batch.
+CHARACTERS, ENTRIES = 1 << 21, 1 << 18
 
 #: Longer language codes.
 LANGUAGES = {"eng": "en", "deu": "de", "ger": "de", "spa": "es", "fra": "fr", "ita": "it"}
 
 _TAG = re.compile(r"</?[A-Za-z][^>\n]*>")
 _HYPHEN = re.compile(r"(?<=\w)-[ \t]*\r?\n\s*(?=\w)")
-_LINES = re.compile(r"[\r\n  ]+")
+_LINES = re.compile(r"[\r\n\u2028\u2029]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=1)
+def _format_characters() -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]+")
+
+
 def paragraphs(text: str) -> list[str]:
     """Paragraphs of a text: lines, with markup and format characters removed and broken words joined."""
     text = unicodedata.normalize("NFKC", text)
     if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+        text = _format_characters().sub("", text)
     text = _HYPHEN.sub("", _TAG.sub("\n", text))
     return [p for p in _LINES.split(text) if p.strip()]
 
 
-def word_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, para, words, n``: the distinct words of each paragraph of each whole text, in order, and how often each occurs."""
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array whose i-th value has the bytes of ``values[ends[i]:ends[i + 1]]``."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(text, paragraph, cols, n) of the paragraphs with words of some texts."""
+    words, at, para, sizes = [], [], [], []
+    for i, text in enumerate(texts):
+        for k, p in enumerate(paragraphs(text)):
+            if own := _WORD.findall(p.lower()):
+                words += own
+                at.append(i)
+                para.append(k)
+                sizes.append(len(own))
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64).view(np.int64)
+    keys = np.repeat(np.arange(len(at)), sizes) * max(1, len(hashes)) + coded.indices.to_numpy()
+    keys, n = np.unique(keys, return_counts=True)
+    many = -(-n // 255)  # a count beyond a byte takes several entries
+    last = np.cumsum(many) - 1
+    small_n = np.full(many.sum(), 255)
+    small_n[last] = n - 255 * (many - 1)
+    keys = np.repeat(keys, many)
+    ends = np.searchsorted(keys // max(1, len(hashes)), np.arange(len(at) + 1))
+    return np.array(at, np.int64), np.array(para, np.int32), _binary(hashes[keys % max(1, len(hashes))], ends), _binary(small_n.astype(np.uint8), ends)
+
+
+def term_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang, para, cols, n``: one row of the sparse document-term matrix per paragraph of each whole text.
+
+    A column is the 64-bit hash of a word: no two words share one below some
+    hundreds of millions of them, and no list of the words is needed to name
+    it. ``cols`` and ``n`` are packed: eight bytes and one per entry.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, lang, text in zip(b["doc_id"], b["lang"], b["text"]):
-                for i, p in enumerate(paragraphs(text)):
-                    if counts := Counter(_WORD.findall(p.lower())):
-                        words = sorted(counts)
-                        rows.append((doc, lang, i, words, np.array([counts[w] for w in words], np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "para", "words", "n"])
+            texts, begin = b.column("text").to_pylist(), 0
+            sizes = np.cumsum([len(t) for t in texts])
+            while begin < len(texts):
+                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + CHARACTERS)))
+                at, para, cols, n = _counted(texts[begin:end])
+                rows = b.select(["doc_id", "lang"]).take(pa.array(at + begin))
+                yield pa.record_batch([*rows.columns, pa.array(para), cols, n], ["doc_id", "lang", "para", "cols", "n"])
+                begin = end
 
     code = F.split(S.key("lang"), "_")[0]
     for long, short in LANGUAGES.items():
         code = F.when(code == long, short).otherwise(code)
     full = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", code.alias("lang"), "text")
-    return full.mapInPandas(run, f"doc_id {kind}, lang string, para int, words array<string>, n array<int>")
+    return full.mapInArrow(run, f"doc_id {kind}, lang string, para int, cols binary, n binary")
 
 
-def vocabulary(words: DataFrame) -> list[str]:
-    """The distinct words of all paragraphs in order; a word's place is its column.
+def _entries(cols: pa.Array, n: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(where each row begins and the last ends, columns, counts) of packed rows."""
+    unpack = lambda x: (np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1], x.buffers()[2])
+    ends, data = unpack(cols.cast(pa.binary()))
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.int64) if len(ends) and ends[-1] > ends[0] else np.zeros(0, np.int64)
+    if n is None:
+        return (ends - ends[0]) // 8, values, None
+    at, raw = unpack(n.cast(pa.binary()))
+    return (ends - ends[0]) // 8, values, np.frombuffer(raw, np.uint8)[at[0] : at[-1]]
 
-    Found by a distributed aggregate. The list reaches the driver and the
-    tasks like H does, which needs more memory for each word.
-    """
-    rows = words.select(F.explode("words").alias("w")).distinct().toPandas()
-    return sorted(rows["w"])
 
+def column_weights(terms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(columns in order, weight of each) from a word's paragraph frequency in the language where it is most common.
 
-def term_rows(words: DataFrame, vocab: list[str]) -> DataFrame:
-    """``doc_id, lang, para, cols, n``: one row of the sparse document-term matrix per paragraph, a column for each word of ``vocab``."""
-    kind = words.schema["doc_id"].dataType.simpleString()
+    Counted over all paragraphs, combined map-side. Two numbers per distinct
+    word reach the driver and the tasks, like H, whose size also grows with
+    the vocabulary.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = {w: i for i, w in enumerate(vocab)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.drop(columns="words").assign(cols=[np.array([at[w] for w in ws], np.int32) for ws in b["words"]])[["doc_id", "lang", "para", "cols", "n"]]
-
-    return words.mapInPandas(run, f"doc_id {kind}, lang string, para int, cols array<int>, n array<int>")
-
-
-def term_weights(terms: DataFrame, columns: int) -> np.ndarray:
-    """Weight of each column from its paragraph frequency in the language where it is most common.
-
-    Counted over all paragraphs; the result has ``columns`` numbers.
+            langs = b.column("lang").dictionary_encode(null_encoding="encode")
+            codes, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+            ends, cols, _ = _entries(b.column("cols"))
+            row = np.repeat(np.arange(len(b)), np.diff(ends))
+            fresh = np.r_[True, (row[1:] != row[:-1]) | (cols[1:] != cols[:-1])] if len(row) else np.zeros(0, bool)
+            for k, name in enumerate(names):
+                found, n = np.unique(cols[fresh & (codes[row] == k)], return_counts=True)
+                size = int((codes == k).sum())
+                yield pa.record_batch([pa.array([name] * (len(found) + 1), pa.string()), pa.array([*found.tolist(), None], pa.int64()), pa.array([*n.tolist(), size], pa.int64())], ["lang", "col", "n"])
+
+    counts = checkpointed(terms.select("lang", "cols").mapInArrow(run, "lang string, col long, n long").groupBy("lang", "col").agg(F.sum("n").alias("n")))
+    sizes = counts.where("col IS NULL").select(F.col("lang").alias("l"), F.col("n").alias("size"))
+    whole = sizes.agg(F.sum("size")).first()[0] or 0
+    share = counts.where("col IS NOT NULL").join(small(sizes), F.col("lang").eqNullSafe(F.col("l")))
+    own = F.when(F.col("lang").isNotNull(), F.col("n") / F.greatest("size", F.lit(200)))
+    rows = share.groupBy("col").agg(F.greatest(F.sum("n") / F.lit(max(200, whole)), F.max(own)).alias("f")).toPandas().sort_values("col")
+    f = np.maximum(rows["f"].to_numpy(float), 1e-9)
+    return rows["col"].to_numpy(np.int64), np.clip(np.log(COMMON / f) / np.log(COMMON / RARE), 0.02, 1.0).astype(np.float32)
+
+
+class Paragraphs:
+    """Rows of the matrix, laid out in blocks of about equal length for vectorised updates."""
+
+    def __init__(self, ends: np.ndarray, j: np.ndarray, v: np.ndarray):
+        sizes = np.diff(ends)
+        room = np.where(sizes <= 64, -(-sizes // 4) * 4, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(int))
+        order = np.argsort(room, kind="stable")
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        begin = 0
+        while begin < len(order):
+            length = int(room[order[begin]])
+            end = min(int(np.searchsorted(room[order], length, "right")), begin + max(1, ENTRIES // max(1, length)))
+            rows = order[begin:end]
+            place = ends[rows][:, None] + np.arange(length)
+            inside = place < ends[rows + 1][:, None]
+            place = np.where(inside, place, 0)
+            self.blocks.append((rows, j[place], np.where(inside, v[place], 0).astype(np.float32)))
+            begin = end
+        self.count = len(sizes)
+
+
+def factor_rows(rows: Paragraphs, w: np.ndarray, h: np.ndarray, prior: np.ndarray, rounds: int, mask: np.ndarray | None = None, sums: np.ndarray | None = None) -> np.ndarray:
+    """Multiplicative updates (Kullback-Leibler) of the rows ``w``, in place, with H fixed; the mass of each component in each row.
+
+    With ``sums`` the component-term masses are added to it.
+    """
+    ht = np.ascontiguousarray(h.T, np.float32)
+    masses = np.zeros(w.shape, np.float32)
+    for at, j, v in rows.blocks:
+        terms, own = ht[j], w[at]
+        allowed = mask[at] if mask is not None else None
+        for _ in range(rounds):
+            used = own
+            ratio = v / (np.einsum("plk,pk->pl", terms, used) + np.float32(1e-12))
+            mass = used * np.einsum("pl,plk->pk", ratio, terms)
+            own = mass + prior
+            if allowed is not None:
+                own = own * allowed
+            own = own / own.sum(1, keepdims=True)
+        w[at], masses[at] = own, mass
+        if sums is not None:
+            for k in range(w.shape[1]):
+                sums[k] += np.bincount(j.ravel(), (used[:, k, None] * ratio).ravel(), sums.shape[1]) * h[k]
+    return masses
+
+
+def filled(mass: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mass, share of the subjects' mass, whether it fills the paragraph) of the ``k`` subjects."""
+    own = mass[:, :k].astype(float)
+    share = own / np.maximum(own.sum(1, keepdims=True), 1e-9)
+    return own, share, (share >= SHARE) & (own >= MASS) & (own >= FILL * mass.sum(1, keepdims=True))
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    return ((x + 1e-4) / (x + 1e-4).sum(1, keepdims=True)).astype(np.float32)
+
+
+def _prior(subjects: list[str]) -> np.ndarray:
+    return np.r_[np.full(len(subjects), PRIOR), np.full(FREE, PRIOR_FREE)].astype(np.float32)
+
+
+def anchors(ends: np.ndarray, j: np.ndarray, v: np.ndarray, labels: list[list[str]], subjects: list[str], columns: int) -> np.ndarray:
+    """Component-term sums of the labelled sample: alternating updates with W masked by the labels.
+
+    Few rounds are best: with many, a free component may take all terms of a
+    subject in some language, depending on its random start.
     """
-    sizes = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("paras"))
-    counts = terms.select("lang", F.explode("cols").alias("col")).groupBy("lang", "col").agg(F.count(F.lit(1)).alias("n"))
-    total = {r["lang"]: r["paras"] for r in sizes.orderBy(F.desc("paras"), "lang").limit(64).collect()}
-    whole = terms.count()
-    main = [k for k in total if k is not None]
-    share = counts.groupBy("col").agg(
-        (F.sum("n") / F.lit(max(200, whole))).alias("all"), *[(F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)) / F.lit(max(200, total[k]))).alias(f"l{i}") for i, k in enumerate(main)]
-    )
-    rows = share.select("col", F.greatest("all", F.lit(0.0), *[f"l{i}" for i in range(len(main))]).alias("f")).toPandas()
-    f = np.full(columns, 1e-9)
-    f[rows["col"].to_numpy(int)] = rows["f"].to_numpy(float)
-    return np.clip(np.log(COMMON / np.maximum(f, 1e-9)) / np.log(COMMON / RARE), 0.02, 1.0)
-
-
-def _matrix(cols: list, n: list, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row starts, columns, values) of paragraphs."""
-    at = np.r_[0, np.cumsum([len(c) for c in cols])[:-1]].astype(int)
-    j = np.concatenate([np.asarray(c) for c in cols]).astype(int)
-    return at, j, np.concatenate([np.asarray(x) for x in n]) * weights[j]
-
-
-def factor_rows(at: np.ndarray, j: np.ndarray, v: np.ndarray, w: np.ndarray, h: np.ndarray, prior: np.ndarray, rounds: int, mask: np.ndarray | None = None):
-    """Multiplicative updates (Kullback-Leibler) of the rows W with H fixed: (W, mass per row, share of each entry)."""
-    sizes = np.diff(np.r_[at, len(j)])
-    ht = np.ascontiguousarray(h.T)[j]
-    for _ in range(rounds):
-        part = np.repeat(w, sizes, axis=0) * ht
-        part *= (v / (part.sum(1) + 1e-12))[:, None]
-        mass = np.add.reduceat(part, at, axis=0)
-        w = mass + prior
-        if mask is not None:
-            w = w * mask
-        w = w / w.sum(1, keepdims=True)
-    return w, mass, part
-
-
-def _sums(part: np.ndarray, j: np.ndarray, columns: int) -> np.ndarray:
-    return np.stack([np.bincount(j, part[:, k], columns) for k in range(part.shape[1])])
-
-
-def anchors(frame: pd.DataFrame, subjects: list[str], weights: np.ndarray) -> np.ndarray:
-    """Component-term sums of the labelled sample: alternating updates with W masked by the labels."""
-    k, m, columns = len(subjects), len(subjects) + FREE, len(weights)
-    at, j, v = _matrix(frame["cols"].tolist(), frame["n"].tolist(), weights)
-    sizes = np.diff(np.r_[at, len(j)])
-    mask = np.full((len(frame), m), DOUBT)
+    k, m = len(subjects), len(subjects) + FREE
+    rows, sizes = Paragraphs(ends, j, v), np.diff(ends)
+    mask = np.full((len(sizes), m), DOUBT, np.float32)
     mask[:, k:] = 1.0
     where = {s: i for i, s in enumerate(subjects)}
-    for r, names in enumerate(frame["labels"]):
+    for r, names in enumerate(labels):
         mask[r, [where[s] for s in names if s in where]] = 1.0
     base = np.bincount(j, v, columns) + 1e-3
     h = np.empty((m, columns))
-    wide = np.repeat(mask[:, :k] == 1.0, sizes, axis=0)
     for i in range(k):  # seeds: what the label's paragraphs have more often than all
-        own = np.bincount(j[wide[:, i]], v[wide[:, i]], columns) + 1e-3
+        of = np.repeat(mask[:, i] == 1.0, sizes)
+        own = np.bincount(j[of], v[of], columns) + 1e-3
         h[i] = own * (own / own.sum()) / (base / base.sum())
     h[k:] = base * np.random.default_rng(SEED).uniform(0.5, 1.5, (FREE, columns))
     h /= h.sum(1, keepdims=True)
-    prior = np.r_[np.full(k, PRIOR), np.full(FREE, PRIOR_FREE)]
-    w = mask / mask.sum(1, keepdims=True)
+    w, sums = mask / mask.sum(1, keepdims=True), h
     for _ in range(ANCHOR_ROUNDS):
-        w, _, part = factor_rows(at, j, v, w, h, prior, 2, mask)
-        h = _sums(part, j, columns) + 1e-4
-        h /= h.sum(1, keepdims=True)
-    return _sums(part, j, columns)
+        sums = np.zeros((m, columns))
+        factor_rows(rows, w, h, _prior(subjects), 2, mask, sums)
+        h = _normal(sums)
+    return sums
+
+
+class Model(NamedTuple):
+    """Fitted subjects: names, columns in order with their weights, and H, a row of term shares per subject, then the free components."""
+
+    subjects: list[str]
+    columns: np.ndarray
+    weights: np.ndarray
+    h: np.ndarray
+
+    def rows(self, b: pa.RecordBatch) -> Paragraphs:
+        ends, cols, n = _entries(b.column("cols"), b.column("n"))
+        j = np.searchsorted(self.columns, cols)
+        return Paragraphs(ends, j, n * self.weights[j])
 
+    def even(self, rows: Paragraphs) -> np.ndarray:
+        return np.full((rows.count, len(self.h)), 1 / len(self.h), np.float32)
 
-def fit_subjects(terms: DataFrame, labels: DataFrame, subjects: list[str], weights: np.ndarray) -> np.ndarray:
-    """H: a row of term shares per subject, then the free components.
 
-    terms: ``term_rows``; labels: ``doc_id, subject``. The anchors come from at
-    most LABELLED labelled documents, in one task. Then W and H are updated in
-    turn over every paragraph of the corpus: each partition sums its share of
-    H, the sums are added per term, and the anchors stay in as prior counts.
-    Only H (components x vocabulary) reaches the driver and the tasks.
+def fit_subjects(terms: DataFrame, labels: DataFrame, subjects: list[str], columns: np.ndarray, weights: np.ndarray) -> Model:
+    """The model of the corpus ``terms`` (``term_rows``) with ``labels`` (``doc_id, subject``).
+
+    The anchors come from at most LABELLED paragraphs of labelled documents,
+    in one task. Then W and H are updated in turn over every paragraph of the
+    corpus: each partition sums its share of H, the sums are added per term,
+    and the anchors stay in as prior counts, until H stands still. Only H
+    (components x vocabulary) reaches the driver and the tasks.
     """
-    k, m, columns = len(subjects), len(subjects) + FREE, len(weights)
+    m, size = len(subjects) + FREE, len(columns)
     known = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(LABELLED)
-    sample = terms.join(chosen, "doc_id").select("doc_id", "para", "cols", "n", "labels")
+    sample = terms.join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "para").limit(LABELLED).select("cols", "n", "labels")
 
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        h = anchors(f.sort_values(["doc_id", "para"], kind="stable"), subjects, weights)
-        return pd.DataFrame({"k": np.arange(m), "h": list(h)})
+    def fit(t: pa.Table) -> pa.Table:
+        b = t.combine_chunks().to_batches()[0]
+        ends, cols, n = _entries(b.column("cols"), b.column("n"))
+        j = np.searchsorted(columns, cols)
+        sums = anchors(ends, j, n * weights[j], b.column("labels").to_pylist(), subjects, size)
+        return pa.table({"k": pa.array(range(m), pa.int32()), "h": pa.array(list(sums), pa.list_(pa.float64()))})
 
-    rows = sample.groupBy(F.lit(1).alias("one")).applyInPandas(lambda f: fit(f), "k int, h array<double>").collect()
-    anchored = np.zeros((m, columns))
-    for r in rows:
+    anchored = np.zeros((m, size))
+    for r in sample.groupBy(F.lit(1).alias("one")).applyInArrow(lambda t: fit(t), "k int, h array<double>").collect():
         anchored[r["k"]] = r["h"]
-    norm = lambda x: (x + 1e-4) / (x + 1e-4).sum(1, keepdims=True)
-    h = norm(anchored)
-    prior = np.r_[np.full(k, PRIOR), np.full(FREE, PRIOR_FREE)]
-    names = [f"c{i}" for i in range(m)]
-    for _ in range(PASSES):
-        now = h
-
-        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((m, columns))
+    h, names = _normal(anchored), [f"c{i}" for i in range(m)]
+    for _ in range(MOST_PASSES):
+        now = Model(subjects, columns, weights, h)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((m, size))
             for b in batches:
                 if len(b):
-                    at, j, v = _matrix(b["cols"].tolist(), b["n"].tolist(), weights)
-                    _, _, part = factor_rows(at, j, v, np.full((len(b), m), 1 / m), now, prior, INNER)  # noqa: B023
-                    total += _sums(part, j, columns)
+                    rows = now.rows(b)  # noqa: B023
+                    factor_rows(rows, now.even(rows), now.h, _prior(subjects), INNER, None, total)  # noqa: B023
             used = np.flatnonzero(total.sum(0) > 0)
-            yield pd.DataFrame({"col": used, **{c: total[i, used] for i, c in enumerate(names)}})
+            yield pa.record_batch([pa.array(used, pa.int32()), *[pa.array(total[i, used]) for i in range(m)]], ["col", *names])
 
-        sums = terms.select("cols", "n").mapInPandas(step, "col int, " + ", ".join(f"{c} double" for c in names))
+        sums = terms.select("cols", "n").mapInArrow(step, "col int, " + ", ".join(f"{c} double" for c in names))
         got = sums.groupBy("col").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # a row per word at most
-        fresh = np.zeros((m, columns))
+        fresh = np.zeros((m, size))
         fresh[:, got["col"].to_numpy(int)] = got[names].to_numpy(float).T
-        h = norm(fresh + ANCHOR * anchored)
-    return h
+        h, before = _normal(fresh + ANCHOR * anchored), h
+        if np.abs(h - before).sum(1).max() <= MOVED:
+            break
+    return Model(subjects, columns, weights, h)
 
 
-def paragraph_subjects(terms: DataFrame, h: np.ndarray, subjects: list[str], weights: np.ndarray) -> DataFrame:
+def paragraph_subjects(terms: DataFrame, model: Model) -> DataFrame:
     """``doc_id, para, subject, share, mass, fills``: the subject mixture of every paragraph."""
-    k, m = len(subjects), len(subjects) + FREE
-    kind = terms.schema["doc_id"].dataType.simpleString()
-    prior = np.r_[np.full(k, PRIOR), np.full(FREE, PRIOR_FREE)]
+    k, kind = len(model.subjects), terms.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(model.subjects, pa.string())
         for b in batches:
             if not len(b):
                 continue
-            at, j, v = _matrix(b["cols"].tolist(), b["n"].tolist(), weights)
-            _, mass, _ = factor_rows(at, j, v, np.full((len(b), m), 1 / m), h, prior, LAST_INNER)
-            own = mass[:, :k]
-            share = own / np.maximum(own.sum(1, keepdims=True), 1e-9)
-            fills = (share >= SHARE) & (own >= MASS) & (own >= FILL * mass.sum(1, keepdims=True))
+            rows = model.rows(b)
+            mass = factor_rows(rows, model.even(rows), model.h, _prior(model.subjects), LAST_INNER)
+            own, share, fills = filled(mass, k)
             r, c = np.nonzero((own > 1e-3) & ((share >= 0.05) | fills))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[r], "para": b["para"].to_numpy()[r], "subject": np.asarray(subjects, object)[c], "share": share[r, c], "mass": own[r, c], "fills": fills[r, c]})
+            out = b.select(["doc_id", "para"]).take(pa.array(r))
+            yield pa.record_batch([*out.columns, names.take(pa.array(c)), pa.array(share[r, c]), pa.array(own[r, c]), pa.array(fills[r, c])], ["doc_id", "para", "subject", "share", "mass", "fills"])
 
-    return terms.select("doc_id", "para", "cols", "n").mapInPandas(run, f"doc_id {kind}, para int, subject string, share double, mass double, fills boolean")
+    return terms.select("doc_id", "para", "cols", "n").mapInArrow(run, f"doc_id {kind}, para int, subject string, share double, mass double, fills boolean")
 
 
-def subject_masses(terms: DataFrame, h: np.ndarray, subjects: list[str], weights: np.ndarray) -> DataFrame:
+def subject_masses(terms: DataFrame, model: Model) -> DataFrame:
     """``subject, mass``: the term mass of each subject in all paragraphs, small shares too; each partition sends one row per subject."""
-    k, m = len(subjects), len(subjects) + FREE
-    prior = np.r_[np.full(k, PRIOR), np.full(FREE, PRIOR_FREE)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(model.subjects))
         for b in batches:
             if len(b):
-                at, j, v = _matrix(b["cols"].tolist(), b["n"].tolist(), weights)
-                total += factor_rows(at, j, v, np.full((len(b), m), 1 / m), h, prior, LAST_INNER)[1][:, :k].sum(0)
-        yield pd.DataFrame({"subject": subjects, "mass": total})
+                rows = model.rows(b)
+                total += factor_rows(rows, model.even(rows), model.h, _prior(model.subjects), LAST_INNER)[:, : len(total)].sum(0, float)
+        yield pa.record_batch([pa.array(model.subjects, pa.string()), pa.array(total)], ["subject", "mass"])
 
-    return terms.select("cols", "n").mapInPandas(run, "subject string, mass double").groupBy("subject").agg(F.sum("mass").alias("mass"))
+    return terms.select("cols", "n").mapInArrow(run, "subject string, mass double").groupBy("subject").agg(F.sum("mass").alias("mass"))
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple | None:
-    """(terms, H, subjects, weights) as the functions above take them; None without areas, labels or words."""
+def _fitted(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[DataFrame, Model] | None:
+    """Matrix and model; None without areas, labels or words. The areas, a component each, are held by the driver."""
     areas = areas.select(S.word("subject").alias("subject")).where("subject IS NOT NULL").distinct()
-    subjects = sorted(r["subject"] for r in areas.limit(1000).collect())
+    subjects = sorted(r["subject"] for r in areas.collect())
     labels = labels.select("doc_id", S.word("subject").alias("subject")).where("doc_id IS NOT NULL AND subject IS NOT NULL")
     if not subjects or not labels.limit(1).count():
         return None
-    words = checkpointed(word_rows(docs))
-    vocab = vocabulary(words)
-    if not vocab:
-        return None
-    terms = checkpointed(term_rows(words, vocab))
-    weights = term_weights(terms, len(vocab))
-    return terms, fit_subjects(terms, labels, subjects, weights), subjects, weights
+    terms = checkpointed(term_rows(docs))
+    columns, weights = column_weights(terms)
+    return (terms, fit_subjects(terms, labels, subjects, columns, weights)) if len(columns) else None
 
 
 def subject_mixtures(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:

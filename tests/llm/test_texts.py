@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from skeinworks.llm import chunk_tokens, digests, mixture, subjects
@@ -256,15 +257,60 @@ def test_subjects_on_held_out_documents(spark):
     assert not any(found[i] for i in (1000, 1001, 1002))
 
 
+def packed(cols, n):
+    return np.array(cols, np.int64).tobytes(), np.array(n, np.uint8).tobytes()
+
+
 def test_composition_counts_small_shares(spark):
-    subjects_, weights = ["law", "optics"], np.ones(4)
     h = np.full((2 + subjects.FREE, 4), 1e-6)
     h[0, 0] = h[1, 1] = h[2:, 2] = 1.0
+    model = subjects.Model(["law", "optics"], np.arange(4), np.ones(4, np.float32), h.astype(np.float32))
     # 99 parts of optics and 1 of law in each paragraph: a share under 0.05 that adds up
-    terms = frame(spark, [(i, 0, [0, 1], [1, 99]) for i in range(50)], "doc_id long, para int, cols array<int>, n array<int>").repartition(3)
-    got = {r.subject: r.mass for r in subjects.subject_masses(terms, h, subjects_, weights).collect()}
+    terms = frame(spark, [(i, 0, *packed([0, 1], [1, 99])) for i in range(50)], "doc_id long, para int, cols binary, n binary").repartition(3)
+    got = {r.subject: r.mass for r in subjects.subject_masses(terms, model).collect()}
     assert abs(got["law"] - 50) < 1 and abs(got["optics"] - 4950) < 1
-    assert {r.subject for r in subjects.paragraph_subjects(terms, h, subjects_, weights).collect()} == {"optics"}
+    assert {r.subject for r in subjects.paragraph_subjects(terms, model).collect()} == {"optics"}
+
+
+def test_updates_equal_a_plain_loop():
+    rng = np.random.default_rng(17)
+    sizes = [1, 3, 4, 5, 70, 200, 2, 64]
+    ends = np.r_[0, np.cumsum(sizes)]
+    j, v = rng.integers(0, 30, ends[-1]), rng.uniform(0.5, 3, ends[-1])
+    h = rng.uniform(0.1, 1, (4, 30))
+    w, prior, sums = np.full((8, 4), 0.25), np.full(4, 0.03), np.zeros((4, 30))
+    mask = rng.uniform(0.2, 1, (8, 4))
+    got_w, got_sums = w.astype(np.float32), np.zeros((4, 30))
+    got = subjects.factor_rows(subjects.Paragraphs(ends, j, v), got_w, h, prior, 3, mask, got_sums)
+    for r in range(8):
+        own, x, y = w[r], j[ends[r] : ends[r + 1]], v[ends[r] : ends[r + 1]]
+        for _ in range(3):
+            part = own[:, None] * h[:, x]
+            part = part * y / part.sum(0)
+            own = (part.sum(1) + prior) * mask[r]
+            own = own / own.sum()
+        np.add.at(sums, (slice(None), x), part)
+        assert np.allclose(got[r], part.sum(1), rtol=1e-4) and np.allclose(got_w[r], own, rtol=1e-4)
+    assert np.allclose(got_sums, sums, rtol=1e-4)
+
+
+def test_rows_count_every_word_of_whole_texts(spark, monkeypatch):
+    texts = ["one two two\n\nthree", "word " * 700 + "end", "", None, "12 34", "Zwei zwei ZWEI"]
+    want = {}
+    for i, t in enumerate(texts):
+        for k, p in enumerate(subjects.paragraphs(t) if t else []):
+            for w in p.lower().split():
+                if w.isalpha():
+                    want[i, k, w] = want.get((i, k, w), 0) + 1
+    df = frame(spark, [(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    names = {int(np.array([xxhash.xxh64_intdigest(w)], np.uint64).view(np.int64)[0]): w for _, _, w in want}
+    got = defaultdict(int)
+    for r in subjects.term_rows(df).collect():
+        for c, n in zip(np.frombuffer(r.cols, np.int64).tolist(), np.frombuffer(r.n, np.uint8).tolist()):
+            got[r.doc_id, r.para, names[c]] += n
+    assert dict(got) == want
+    columns, weights = subjects.column_weights(subjects.term_rows(df))
+    assert set(columns.tolist()) == set(names) and (np.diff(columns) > 0).all() and len(weights) == len(columns)
 
 
 def test_words_with_equal_crc_stay_apart(spark):
@@ -281,10 +327,8 @@ def test_words_with_equal_crc_stay_apart(spark):
     got = subjects.subject_mixtures(frame(spark, docs, "doc_id long, text string, lang string"), frame(spark, labels, "doc_id long, subject string"), frame(spark, [("optics",), ("law",)], "subject string"))
     found, true = {(r.doc_id, r.subject) for r in got.where("fills").collect()}, {(i, ("optics", "law")[i % 2]) for i in range(200)}
     assert len(found & true) > 140 and found <= true, (len(found & true), len(found - true))
-    rows = subjects.word_rows(frame(spark, docs, "doc_id long, text string, lang string"))
-    vocab = subjects.vocabulary(rows)
-    assert vocab == sorted({w for p in pairs for w in p} & {w for _, t, _ in docs for w in t.split()})
-    assert all(len(set(r.cols)) == len(r.cols) == len(r.n) for r in subjects.term_rows(rows, vocab).collect())
+    columns, _ = subjects.column_weights(subjects.term_rows(frame(spark, docs, "doc_id long, text string, lang string")))
+    assert len(columns) == len({w for _, t, _ in docs for w in t.split()})
 
 
 def test_subjects_without_labels(spark):
