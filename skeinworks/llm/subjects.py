@@ -23,7 +23,7 @@ FREE = 3
 #: Most paragraphs of labelled documents that the anchors are fitted on (those of the documents with the smallest hash).
 LABELLED = 60_000
 #: Anchor rounds on the labelled sample, and updates of W in a pass over the corpus and in the last one.
-ANCHOR_ROUNDS, INNER, LAST_INNER = 3, 8, 18
+ANCHOR_ROUNDS, INNER, LAST_INNER = 5, 8, 18
 #: Passes over the corpus end when no component's term shares move by more than this in all (of 2), or after so many.
 MOVED, MOST_PASSES = 0.05, 12
 #: Weight a label leaves to subjects it doesn't name, as labels may be wrong or incomplete.
