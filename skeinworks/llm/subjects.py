@@ -36,13 +36,14 @@ COMMON, RARE = 0.15, 0.05
 SHARE, FILL, MASS = 0.5, 0.3, 2.0
 SEED = 10
 #: Characters tokenised, and entries factored, at a time, so that memory doesn't grow with an Arrow batch.
-CHARACTERS, ENTRIES = 1 << 21, 1 << 18
+CHARACTERS, ENTRIES = 1 << 21, 1 << 15
 
 #: Longer language codes.
 LANGUAGES = {"eng": "en", "deu": "de", "ger": "de", "spa": "es", "fra": "fr", "ita": "it"}
 
 _TAG = re.compile(r"</?[A-Za-z][^>\n]*>")
 _HYPHEN = re.compile(r"(?<=\w)-[ \t]*\r?\n\s*(?=\w)")
+_AT_END = re.compile(r"-[ \t]*\r?\n")
 _LINES = re.compile(r"[\r\n\u2028\u2029]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,7 +58,9 @@ def paragraphs(text: str) -> list[str]:
     text = unicodedata.normalize("NFKC", text)
     if not text.isascii():
         text = _format_characters().sub("", text)
-    text = _HYPHEN.sub("", _TAG.sub("\n", text))
+    text = _TAG.sub("\n", text)
+    if _AT_END.search(text):
+        text = _HYPHEN.sub("", text)
     return [p for p in _LINES.split(text) if p.strip()]
 
 
@@ -109,9 +112,8 @@ def term_rows(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([*rows.columns, pa.array(para), cols, n], ["doc_id", "lang", "para", "cols", "n"])
                 begin = end
 
-    code = F.split(S.key("lang"), "_")[0]
-    for long, short in LANGUAGES.items():
-        code = F.when(code == long, short).otherwise(code)
+    first = F.split(S.key("lang"), "_")[0]
+    code = F.coalesce(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[first], first)
     full = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", code.alias("lang"), "text")
     return full.mapInArrow(run, f"doc_id {kind}, lang string, para int, cols binary, n binary")
 
@@ -158,7 +160,7 @@ def column_weights(terms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Paragraphs:
-    """Rows of the matrix, laid out in blocks of about equal length for vectorised updates."""
+    """Rows of the matrix, laid out in blocks of about equal length (entry by row) for vectorised updates."""
 
     def __init__(self, ends: np.ndarray, j: np.ndarray, v: np.ndarray):
         sizes = np.diff(ends)
@@ -173,7 +175,7 @@ class Paragraphs:
             place = ends[rows][:, None] + np.arange(length)
             inside = place < ends[rows + 1][:, None]
             place = np.where(inside, place, 0)
-            self.blocks.append((rows, j[place], np.where(inside, v[place], 0).astype(np.float32)))
+            self.blocks.append((rows, j[place].T, np.where(inside, v[place], 0).astype(np.float32).T.copy()))
             begin = end
         self.count = len(sizes)
 
@@ -183,23 +185,22 @@ def factor_rows(rows: Paragraphs, w: np.ndarray, h: np.ndarray, prior: np.ndarra
 
     With ``sums`` the component-term masses are added to it.
     """
-    ht = np.ascontiguousarray(h.T, np.float32)
-    masses = np.zeros(w.shape, np.float32)
+    h32, masses = h.astype(np.float32), np.zeros(w.shape, np.float32)
     for at, j, v in rows.blocks:
-        terms, own = ht[j], w[at]
-        allowed = mask[at] if mask is not None else None
+        terms, own = h32[:, j], w[at].T.copy()
+        allowed = mask[at].T if mask is not None else None
         for _ in range(rounds):
             used = own
-            ratio = v / (np.einsum("plk,pk->pl", terms, used) + np.float32(1e-12))
-            mass = used * np.einsum("pl,plk->pk", ratio, terms)
-            own = mass + prior
+            ratio = v / (np.einsum("klp,kp->lp", terms, used) + np.float32(1e-12))
+            mass = used * np.einsum("klp,lp->kp", terms, ratio)
+            own = mass + prior[:, None]
             if allowed is not None:
                 own = own * allowed
-            own = own / own.sum(1, keepdims=True)
-        w[at], masses[at] = own, mass
+            own = own / own.sum(0)
+        w[at], masses[at] = own.T, mass.T
         if sums is not None:
-            for k in range(w.shape[1]):
-                sums[k] += np.bincount(j.ravel(), (used[:, k, None] * ratio).ravel(), sums.shape[1]) * h[k]
+            for k in range(len(h)):
+                sums[k] += np.bincount(j.ravel(), (used[k] * ratio).ravel(), sums.shape[1]) * h[k]
     return masses
 
 
