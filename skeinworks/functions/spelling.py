@@ -24,6 +24,8 @@ ROLES = {
     "calibration": ["calibration", "calib", "cal"],
 }
 
+#: Where a key has ``_``: before padded digits at the start, at other characters, between letters and digits; zeros after it go.
+_JOINT = r"(?:^(?=0+\p{Nd})|[^\p{L}\p{N}]+|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L}))(?:0+(?=\p{Nd}))?"
 _EDGE = r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$"
 
 
@@ -46,11 +48,7 @@ def key(c: Column | str) -> Column:
 
     ``PN 0207``, ``pn-207`` and ``PN207`` all give ``pn_207``; null for "not known".
     """
-    x = F.lower(_col(c))
-    x = F.regexp_replace(x, r"(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})", "_")
-    x = F.regexp_replace(x, r"[^\p{L}\p{N}]+", "_")
-    x = F.regexp_replace(x, r"(?<!\p{Nd})0+(?=\p{Nd})", "")
-    return known(F.regexp_replace(x, r"^_+|_+$", ""))
+    return known(F.btrim(F.regexp_replace(F.lower(_col(c)), _JOINT, "_"), F.lit("_")))
 
 
 def image_id(c: Column | str) -> Column:
@@ -69,10 +67,11 @@ def sha256(c: Column | str) -> Column:
 
 def role(c: Column | str) -> Column:
     """One of the four split roles, null for an unassigned one; other words keep their key."""
-    bare = F.regexp_replace(F.lower(_col(c)), r"[^\p{L}\p{N}]+", "")
+    raw = _col(c)
+    bare = F.regexp_replace(F.lower(raw), r"[^\p{L}\p{N}]+", "")
     named = F.create_map(*[F.lit(x) for name, words in ROLES.items() for w in words for x in (w, name)])
-    # one lookup keeps the generated method small enough for the JIT compiler
-    return F.coalesce(named[bare], key(c))
+    # most are spelt clean; one lookup for the others keeps the generated method small enough for the JIT compiler
+    return F.when(raw.isin(*ROLES), raw).when(~raw.isin(*NOT_KNOWN), F.coalesce(named[bare], key(raw)))
 
 
 def condition(c: Column | str) -> Column:
