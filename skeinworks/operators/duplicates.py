@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, release
+from .selection import group_rank
 
 #: Vectors that the directions of the search grid are fitted on, and their number. Both change speed only.
 DIRECTION_ROWS, DIRECTIONS = 2000, 3
@@ -21,14 +21,13 @@ BLOCK = 1024
 def number_duplicates(rows: DataFrame, scope: str, order: str, value: str, prefix: str, out: str) -> DataFrame:
     """Add ``out``: the number of each group of equal values with two members or more, else null.
 
-    Groups of a scope are numbered in the order of their first member. Only
-    groups of two or more are numbered, which are few: their first members are
-    aggregated (map-side combined), ranked per scope and joined back. Null and
-    empty values are in no group.
+    Groups of a scope are numbered in the order of their first member: the
+    first members are aggregated (map-side combined), ranked by a distributed
+    sort and joined back. Null and empty values are in no group.
     """
     valid = rows.where(F.col(value).isNotNull() & (F.col(value) != ""))
     groups = valid.groupBy(scope, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
-    numbered = groups.withColumn(out, F.format_string(f"{prefix}_%03d", F.row_number().over(W.partitionBy(scope).orderBy("first", value)))).select(F.col(scope).alias("__s"), F.col(value).alias("__v"), out)
+    numbered = group_rank(groups, [scope], ["first", value], "__i", "__of").withColumn(out, F.format_string(f"{prefix}_%03d", F.col("__i") + 1)).select(F.col(scope).alias("__s"), F.col(value).alias("__v"), out)
     return rows.join(numbered, F.col(scope).eqNullSafe(F.col("__s")) & (F.col(value) == F.col("__v")), "left").drop("__s", "__v")
 
 
@@ -88,26 +87,57 @@ def near_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector: st
     return found.groupBy("left", "right").agg(F.max("score").alias("score"))
 
 
+def linked(edges: DataFrame) -> DataFrame:
+    """``x, root``: the smallest vertex of each component of ``a, b`` (strings), by alternating star operations.
+
+    A vertex hands its greater neighbours to its smallest one, then its
+    smaller ones, in turn; the rounds grow with the logarithm of a chain's
+    length. Minima are combined map-side. Edges that change nothing are all
+    that is left at the end.
+    """
+    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        stars = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        done, edges = edges, checkpointed(stars)
+        moved = edges.exceptAll(done).limit(1).count() + done.exceptAll(edges).limit(1).count()
+        release(done)
+        if not moved:
+            return edges.select(F.col("u").alias("x"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("x"), F.col("v").alias("root")).distinct())
+
+
 def fold_pairs(pairs: DataFrame, scope: str, prefix: str) -> DataFrame:
     """``scope, id, group, score``: groups given to pairs one after the other, the later pair overwriting.
 
     Pairs ``scope, i, j, left, right, score`` are taken in the order of the
     positions i, j. A pair takes the group of its left member, else of its
     right one, else a new number; both members get it and the pair's score.
-    The order matters and groups may split, unlike connected components, so
-    each scope is folded in one task; its pairs, not its images, go there.
+    The order matters and groups may split, unlike connected components, but
+    pairs of different components never meet: each component is folded apart,
+    its groups named by the pair that began them, and these are numbered by a
+    distributed rank of those pairs.
+
+    Defined cases: no pairs give no rows; null ends are no pair; a pair of an
+    id with itself groups that id alone.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    pairs = checkpointed(pairs.where(F.col("left").isNotNull() & F.col("right").isNotNull()))
+    name = lambda c: F.concat_ws("\x00", F.col(scope).cast("string"), F.col(c).cast("string"))
+    roots = linked(pairs.select(name("left").alias("a"), name("right").alias("b")))
+    placed = pairs.withColumn("x", name("left")).join(roots, "x", "left").withColumn("root", F.coalesce("root", "x")).drop("x")
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
-        group, score, n = {}, {}, 0
-        for r in f.sort_values(["i", "j"], kind="stable").itertuples(index=False):
-            g = group.get(r.left) or group.get(r.right)
-            if g is None:
-                n += 1
-                g = f"{prefix}_{n:03d}"
+        begun, score = {}, {}
+        for k, r in enumerate(f.sort_values(["i", "j"], kind="stable").itertuples(index=False)):
+            g = begun.get(r.left, begun.get(r.right, (r.i, r.j)))
             for x in (r.left, r.right):
-                group[x], score[x] = g, r.score
-        return pd.DataFrame({scope: [f[scope].iloc[0]] * len(group), "id": list(group), "group": list(group.values()), "score": [score[x] for x in group]})
+                begun[x], score[x] = g, r.score
+        return pd.DataFrame({scope: [f[scope].iloc[0]] * len(begun), "id": list(begun), "bi": [g[0] for g in begun.values()], "bj": [g[1] for g in begun.values()], "score": [score[x] for x in begun]})
 
-    return pairs.groupBy(scope).applyInPandas(lambda f: fold(f), f"{scope} {kinds[scope]}, id {kinds['left']}, group string, score double")
+    folded = checkpointed(placed.groupBy("root").applyInPandas(lambda f: fold(f), f"{scope} {kinds[scope]}, id {kinds['left']}, bi {kinds['i']}, bj {kinds['j']}, score double"))
+    begins = group_rank(folded.select(scope, "bi", "bj").distinct(), [scope], ["bi", "bj"], "k", "of").select(F.col(scope).alias("s"), F.col("bi").alias("p"), F.col("bj").alias("q"), "k")
+    named = folded.join(begins, F.col(scope).eqNullSafe(F.col("s")) & F.col("bi").eqNullSafe(F.col("p")) & F.col("bj").eqNullSafe(F.col("q")))
+    return named.select(scope, "id", F.format_string(f"{prefix}_%03d", F.col("k") + 1).alias("group"), "score")

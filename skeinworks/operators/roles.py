@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The roles of the first groups when there are one, two, three or more groups.
@@ -13,14 +14,14 @@ REST_ROLE = "training"
 def allocate_roles(rows: DataFrame, group: str, scope: str | None = None) -> DataFrame:
     """Add ``role``: the roles of the first groups by name, the rest training; all rows of a group share it.
 
-    The rank of a group matters only among the first four, so no window over
-    all groups is needed: per scope the four smallest names and, up to four,
-    the number of groups come from a map-side combined aggregate.
+    The rank of a group matters only among the first four, so no task ranks
+    all groups: each keeps its own four smallest per scope before the shuffle
+    (the limit on the row number is pushed below it).
     """
     s = F.col(scope) if scope else F.lit(0)
     names = rows.select(s.alias("__s"), F.col(group).alias("__g")).where("__g IS NOT NULL").distinct()
-    first = names.groupBy("__s").agg(F.slice(F.array_sort(F.collect_set("__g")), 1, 4).alias("firsts")) if scope else names.orderBy("__g").limit(4).groupBy("__s").agg(F.array_sort(F.collect_list("__g")).alias("firsts"))
-    first = first.withColumnRenamed("__s", "__fs")
+    top = names.withColumn("__r", F.row_number().over(W.partitionBy("__s").orderBy("__g"))).where("__r <= 4")
+    first = top.groupBy("__s").agg(F.array_sort(F.collect_list("__g")).alias("firsts")).withColumnRenamed("__s", "__fs")
     role = F.lit(None).cast("string")
     for n, roles in ROLES_BY_COUNT.items():
         at = F.array_position("firsts", F.col(group))
@@ -30,10 +31,19 @@ def allocate_roles(rows: DataFrame, group: str, scope: str | None = None) -> Dat
     return joined.withColumn("role", F.when(F.col(group).isNotNull(), role)).drop("__s", "__fs", "firsts")
 
 
+#: The published reason of each role, and of any other.
+REASONS = {
+    "training": "provisional PN-level training allocation",
+    "validation": "provisional PN-level validation allocation",
+    "held_out_test": "provisional PN-level primary held-out test allocation",
+    "calibration": "provisional PN-level calibration allocation",
+}
+OTHER_REASON = "provisional PN-level allocation"
+
+
 def role_reason(role: Column) -> Column:
     """Text that says at which level a role was given."""
-    named = F.when(role == "held_out_test", "primary held-out test ").when(role.isin("training", "validation", "calibration"), F.concat(role, F.lit(" "))).otherwise("")
-    return F.concat(F.lit("provisional PN-level "), named, F.lit("allocation"))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])[role], F.lit(OTHER_REASON))
 
 
 def leaking_groups(rows: DataFrame, group: str, role: str, where: Column | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Rule = Callable[[dict[str, DataFrame]], DataFrame]
@@ -69,8 +70,15 @@ def run_rules(rules: list[Rule], tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def first_examples(found: DataFrame, per_rule: int = 5) -> DataFrame:
-    """Count and first examples of each rule, for a message."""
-    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("entity")), 1, per_rule).alias("examples"))
+    """Count and first examples of each rule, for a message.
+
+    Each task keeps its own first entities of a rule before the shuffle (the
+    limit on the row number is pushed below it), so no buffer holds all of them.
+    """
+    ranked = found.select("rule", "entity").where("entity IS NOT NULL").distinct().withColumn("r", F.row_number().over(W.partitionBy("rule").orderBy("entity"))).where(F.col("r") <= per_rule)
+    examples = ranked.groupBy("rule").agg(F.array_sort(F.collect_list("entity")).alias("examples"))
+    counts = found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(examples, "rule", "left").select("rule", "n", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
 def inventory_rules(images: str = "images") -> list[Rule]:

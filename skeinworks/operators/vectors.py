@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.sinks import npz_bytes
+from ..sources.sinks import npz_bytes, put_bytes
 from . import strands
 from .images import array_of
 
@@ -174,12 +174,9 @@ def sample_violations(rows: DataFrame, config: dict | None = None) -> DataFrame:
 def export_samples(rows: DataFrame, folder: str) -> DataFrame:
     """Write the NPZ files from the executors to a shared folder; returns ``sample_id, npz_path, npz_sha256``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pathlib import Path
-
-        Path(folder).mkdir(parents=True, exist_ok=True)
         for b in batches:
             for r in b.to_dict("records"):
-                Path(folder, r["sample_id"] + ".npz").write_bytes(r["npz"])
+                put_bytes(folder, r["sample_id"] + ".npz", bytes(r["npz"]))
             yield pd.DataFrame({"sample_id": b["sample_id"], "npz_path": b["sample_id"] + ".npz", "npz_sha256": b["npz_sha256"]})
 
     return rows.select("sample_id", "npz", "npz_sha256").mapInPandas(run, "sample_id string, npz_path string, npz_sha256 string")

@@ -166,7 +166,7 @@ def characterize(decoded: DataFrame, rows: DataFrame, subset: int = 48, sigmas:
 
     ``rows`` has ``stable_image_id, source_kind, relative_path, source_root_id``.
     """
-    kinds = [r[0] for r in rows.select("source_kind").distinct().limit(100).collect()]
+    kinds = [r[0] for r in rows.select("source_kind").distinct().collect()]
     chosen = reduce(DataFrame.unionByName, [selection.spaced_subset(rows.where(F.col("source_kind") == k), "stable_image_id", subset) for k in kinds])
     keys = ["stable_image_id", "source_kind", "relative_path"]
     held = checkpointed(decoded.drop("source_kind", "source_sha256").join(chosen.select(*keys, "source_root_id"), ["source_root_id", "relative_path"]))
@@ -281,7 +281,7 @@ def validate_records(cards: DataFrame, claims: DataFrame, manifest: DataFrame, s
     span_rows = spans.join(manifest, "cite_key", "left")
     cited = nodes.where("kind = 'string' AND path RLIKE '[.](evidence_ids|field_evidence[.][^.]+)\\\\[[0-9]+\\\\]$'").select("cite_key", "path", F.col("value").alias("evidence_id"))
     checked = cards.select("cite_key", F.explode(F.from_json(F.get_json_object("text", "$.missing_field_checks"), "array<struct<path:string>>")).alias("c")).select("cite_key", F.col("c.path").alias("at"))
-    gaps = nodes.where("value = 'not_reported' AND path NOT LIKE '$.bibliography.%'").select("cite_key", F.substring("path", 3, 10_000).alias("at"))
+    gaps = nodes.where("value = 'not_reported' AND path NOT LIKE '$.bibliography.%'").select("cite_key", F.expr("substring(path, 3)").alias("at"))
     links = claims.select("claim_id", F.explode(F.concat("supporting_evidence_ids", "limiting_evidence_ids")).alias("evidence_id"))
     v = rules.violations
     parts = [

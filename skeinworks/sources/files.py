@@ -19,6 +19,12 @@ from .tiff import read_pages
 IMAGE_SCHEMA = "source_root_id string, relative_path string, source_kind string, source_sha256 string, height int, width int, channels int, frames int, dtype string, pixels binary, error string"
 
 
+def qualified(spark: SparkSession, path: str | Path) -> str:
+    """The full form of a path of any file system that the cluster knows, as file listings give it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+
+
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """``relative_path, length, content`` of all regular files under ``root``, at any depth.
 
@@ -29,8 +35,8 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    base = Path(root).resolve().as_posix()
-    rel = F.substring(F.regexp_replace("path", "^[a-z]+:/+", "/"), len(base) + 2, 1_000_000)
+    base = qualified(spark, root)
+    rel = F.expr(f"substring(path, {len(base) + 2})")
     return reader.load(base).select(rel.alias("relative_path"), "length", "content").withColumn("path_order", F.split("relative_path", "/"))
 
 

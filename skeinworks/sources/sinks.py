@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable
@@ -75,6 +76,16 @@ def npz_bytes(arrays: dict[str, np.ndarray]) -> bytes:
     return out.getvalue()
 
 
+def put_bytes(folder: str, name: str, data: bytes) -> None:
+    """Write one file from any process, to a local path or to the file system that the folder's scheme names."""
+    from pyarrow import fs
+
+    to, base = fs.FileSystem.from_uri(folder) if re.match(r"^[a-z][a-z0-9+.-]*:", folder) else (fs.LocalFileSystem(), folder)
+    to.create_dir(base, recursive=True)
+    with to.open_output_stream(f"{base.rstrip('/')}/{name}") as f:
+        f.write(data)
+
+
 def png_bytes(image: np.ndarray) -> bytes:
     """An 8-bit grey or RGB image as PNG."""
     a = np.ascontiguousarray(image, np.uint8)

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import _checkpoint_dir, table
+from ..session import shared_dir, table
 
 
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,7 @@ def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream until what is there now is read; its rows as a table in the shared checkpoint folder."""
     spark = stream.sparkSession
-    _checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
