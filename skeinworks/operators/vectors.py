@@ -139,7 +139,7 @@ def composites(blanks: DataFrame, config: dict) -> DataFrame:
     return blanks.select("sample_index", "height", "width", "channels", "dtype", "pixels").mapInPandas(run, SAMPLE_SCHEMA)
 
 
-def sample_violations(rows: DataFrame, config: dict | None = None) -> DataFrame:
+def sample_violations(rows: DataFrame, config: dict | None = None, landmarks: bool = True) -> DataFrame:
     """``rule, entity, message`` of samples: arrays, memberships, masks, landmarks and, with ``config``, regeneration."""
     def problems(r) -> Iterator[tuple[str, str]]:
         with np.load(io.BytesIO(r["npz"]), allow_pickle=False) as z:
@@ -154,7 +154,7 @@ def sample_violations(rows: DataFrame, config: dict | None = None) -> DataFrame:
             yield "overlap", "overlap_count differs from the memberships"
         if (a["semantic_mask"] != (a["overlap_count"] > 0)).any():
             yield "semantic_mask", "mask is not the union of the memberships"
-        for name, there in (("crossing", len(a["geometric_crossing_points_xy"])), ("junction", a["junction_map"].any()), ("endpoint", a["endpoint_map"].any()), ("truncated", a["edge_truncated_start"].any() or a["edge_truncated_end"].any())):
+        for name, there in () if not landmarks else (("crossing", len(a["geometric_crossing_points_xy"])), ("junction", a["junction_map"].any()), ("endpoint", a["endpoint_map"].any()), ("truncated", a["edge_truncated_start"].any() or a["edge_truncated_end"].any())):
             if not there:
                 yield name, f"no {name}"
         if config is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import documents, duplicates, images, kernels, roles, rules, selection, vectors
+from ..operators import documents, duplicates, images, kernels, literature, roles, rules, selection, strands, vectors
 from ..session import checkpointed
 from ..sources import files, sinks
 
@@ -121,13 +121,19 @@ def folder_percentiles(decoded: DataFrame, ps: list[float] | None = None) -> Dat
 def create_splits(*inventories: DataFrame) -> DataFrame:
     """Split rows of inventories: roles by sample group, one role for all rows of a group."""
     wanted = ["stable_image_id", "source_kind", "biological_group_candidate", "acquisition_group", "inferred_condition", "inferred_div", "inferred_round", "series_index"]
-    rows = reduce(DataFrame.unionByName, [i.select(*wanted) for i in inventories])
+    given = lambda i, c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) if c in i.columns else F.lit("unknown").alias(c)
+    rows = reduce(DataFrame.unionByName, [i.select(*wanted[:4], *[given(i, c) for c in wanted[4:]]) for i in inventories])
     rows = roles.allocate_roles(rows, "biological_group_candidate").withColumnRenamed("role", "eligibility")
     constant = {"secondary_image_eval_role": "not_assigned", "grouping_rule": "pn_holdout_primary", "human_approved": "false", "override_status": "none", "override_reason": "none"}
     rows = rows.withColumns({k: F.lit(v) for k, v in constant.items()}).withColumn("primary_metric_role", F.col("eligibility")).withColumn("assignment_reason", roles.role_reason(F.col("eligibility")))
     return rows.withColumn("synthetic_split", F.when(F.col("source_kind") == "blank_background", F.col("eligibility")).otherwise("not_applicable")).select(*SPLIT_COLUMNS)
 
 
+def write_splits(splits: DataFrame, path: str) -> None:
+    """The split manifest as one CSV, ordered by group, kind, acquisition group and id."""
+    sinks.write_csv_file(splits.orderBy("biological_group_candidate", "source_kind", "acquisition_group", "stable_image_id"), path, SPLIT_COLUMNS)
+
+
 def split_report(splits: DataFrame, least: int = 3) -> str:
     """Markdown of allocation, split sizes and strata, from one grouping-sets pass and a group table."""
     levels = [["eligibility"], ["inferred_condition", "inferred_div"], ["eligibility", "inferred_condition", "inferred_div"]]
@@ -192,60 +198,156 @@ def appearance_report(summary: DataFrame, group: str, groups: list[str], base: s
     return "\n".join(lines) + "\n"
 
 
+#: States of calibration data, and of artifacts that may still change.
+DATA_STATUSES = ["exploratory_unpartitioned", "exploratory_provisional_split", "approved_calibration_subset", "held_out_excluded"]
+EXPLORATORY = ["exploratory_unpartitioned", "exploratory_provisional_split"]
+#: Files of a complete set of calibration artifacts.
+ARTIFACT_FILES = ["real_fiber_stats.csv", "blank_stats.csv", "proxy_stats.csv", "background_decomposition_stats.csv", "appearance_summary.json"]
+#: States of procedural samples, and what their metadata say of coordinates and rasters.
+SAMPLE_STATUS, NO_BLANK = "procedural_unmatched", "not_applicable"
+COORDINATES = {"indexing": "zero_based", "units": "pixels", "xy_order": "x_y", "pixel_center": "pixel (x, y) is centered at (x + 0.5, y + 0.5)"}
+RASTER_RULES = {
+    "semantic_mask": "union of all clean finite-width instance supports before PSF blur",
+    "overlap_count": "number of instance memberships per pixel before PSF blur",
+    "crossing_map": "raster disks around disconnected centerline intersections",
+    "junction_map": "raster disks around true graph junction nodes",
+    "canonical_instance_membership": "sparse pixel-to-instance coordinate table",
+}
+ALIGNMENT = "structural targets are unchanged during real-blank compositing"
+VERSIONS = {"schema_version": "1", "generator_version": "skeinworks-1"}
+
+
 def artifact_metadata(kind: str, config: dict, inputs: dict[str, str], source_ids: list[str], status: str, today: str | None = None, version: str | None = None) -> dict:
     """Provenance document: input hashes (``missing`` for absent files), configuration, version, date and status."""
-    allowed = ["exploratory_unpartitioned", "exploratory_provisional_split", "approved_calibration_subset", "held_out_excluded"]
-    if status not in allowed:
+    if status not in DATA_STATUSES:
         raise ValueError(f"invalid status: {status}")
     hashes = {n: hashlib.sha256(Path(p).read_bytes()).hexdigest() if Path(p).exists() else "missing" for n, p in inputs.items()}
     return {
-        "artifact_kind": kind, "source_manifest_version": hashes, "source_image_ids": source_ids, "calibration_data_status": status, "configuration": config,
+        "artifact_kind": kind, "source_manifest_version": hashes, "source_image_ids": source_ids, "calibration_data_status": status, "calibration_status": status, "configuration": config,
         "code_version": version or files.code_version(), "date_generated": today or datetime.date.today().isoformat(), "result_status": "exploratory" if status.startswith("exploratory") else "approved",
     }
 
 
+def validate_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Violations of a folder of calibration artifacts: absent files and the state in its summary."""
+    found = files.scan_files(spark, folder, "*.{csv,json}").select("relative_path", "content")
+    wanted = spark.createDataFrame([(x,) for x in ARTIFACT_FILES], "relative_path string")
+    lost = wanted.join(found.select("relative_path"), "relative_path", "left_anti")
+    status = F.get_json_object(F.decode("content", "UTF-8"), "$.metadata.calibration_status")
+    summary = found.where("relative_path = 'appearance_summary.json'").select("relative_path", F.coalesce(status, F.lit("none")).alias("status"))
+    v = rules.violations
+    return reduce(DataFrame.unionByName, [
+        v(lost, "artifact_missing", "relative_path", "calibration artifact is missing"),
+        v(summary.where(~F.col("status").isin(DATA_STATUSES)), "artifact_status", "relative_path", F.concat(F.lit("unknown state "), "status")),
+        v(summary.where(F.col("status").isin(DATA_STATUSES) & ~F.col("status").isin(EXPLORATORY)), "artifact_final", "relative_path", "artifacts must stay exploratory"),
+    ])
+
+
+def validate_composites(spark: SparkSession, folder: str) -> DataFrame:
+    """Violations of a folder of composites: checksums, arrays, state, provenance, and backgrounds used in several splits."""
+    manifest = files.read_csv(spark, f"{folder}/dataset_manifest.csv")
+    disk = files.scan_files(spark, folder, "*.json").select(F.col("relative_path").alias("json_path"), F.decode("content", "UTF-8").alias("doc"))
+    at = lambda path: F.get_json_object("doc", f"$.{path}")
+    docs = checkpointed(manifest.join(disk, "json_path").select("sample_id", at("calibration_status").alias("status"), at("source_blank_provenance").alias("blank"), at("source_blank_provenance.blank_stable_image_id").alias("blank_id"), at("synthetic_split").alias("split")))
+    v = rules.violations
+    return reduce(DataFrame.unionByName, [
+        _file_violations(spark, manifest, folder).unionByName(vectors.sample_violations(_packed_files(spark, manifest, folder), landmarks=False)),
+        v(docs.where(~F.coalesce(F.col("status").isin(EXPLORATORY), F.lit(False))), "calibration_status", "sample_id", "a composite must be exploratory"),
+        v(docs.where(F.coalesce("blank", F.lit(NO_BLANK)) == NO_BLANK), "blank_provenance", "sample_id", "no provenance of the blank"),
+        v(vectors.background_reuse(docs.where("blank_id IS NOT NULL"), "blank_id", "split"), "blank_reuse", "blank_id", F.concat(F.lit("used in several splits: "), "splits")),
+    ])
+
+
 def generate_samples(spark: SparkSession, config: dict, out: str) -> DataFrame:
     """Procedural samples as NPZ and JSON files with a manifest; samples are built and written by the executors."""
+    status = config.get("calibration_status", SAMPLE_STATUS)
+    if status != SAMPLE_STATUS:
+        raise ValueError(f"invalid calibration status: {status}")
     built = checkpointed(vectors.samples(files.sample_range(spark, int(config.get("sample_count", 8))), config))
-    return _write_samples(spark, built, config, out, {"calibration_status": config.get("calibration_status", "procedural_unmatched"), "source_blank_provenance": "not_applicable"})
+    geometry, look, targets = config.get("geometry", {}), config.get("rendering", {}), config.get("targets", {})
+    more = {
+        "calibration_status": status, "source_blank_provenance": NO_BLANK, "split": config.get("split", "training"), "geometry_parameters": geometry, "appearance_parameters": look,
+        "image_shape": geometry.get("image_shape", [1024, 1024]), "coordinate_conventions": COORDINATES, "rasterization_rules": RASTER_RULES,
+        "tolerance_radii": {f"{k}_radius_px": targets.get(f"{k}_radius_px", v) for k, v in strands.TARGET_RADII.items()} | {"psf_ambiguity_threshold": "not_implemented_in_mvp"},
+    }
+    seeds = {"geometry_seed": int(geometry.get("base_seed", 1234)), "rendering_seed": int(look.get("base_seed", 5678))}
+    return _write_samples(spark, built, config, out, more, seeds, {})
 
 
 def generate_composites(spark: SparkSession, config: dict, blanks: DataFrame, splits: DataFrame, decoded: DataFrame, out: str) -> DataFrame:
     """Samples on the first blanks of the configured split; ``blanks`` is the blank inventory, ``decoded`` its images."""
-    mix = config.get("compositing", {})
+    mix, geometry = config.get("compositing", {}), config.get("geometry", {})
     count = int(mix.get("sample_count", 8))
     wanted = splits.where((F.col("source_kind") == "blank_background") & (F.col("synthetic_split") == mix.get("synthetic_split", "calibration"))).select("stable_image_id")
     top = selection.first_rows(selection.must_match(wanted, blanks, "stable_image_id"), "stable_image_id", count)
-    numbered = top.withColumn("sample_index", (F.row_number().over(W.orderBy("stable_image_id")) - 1).cast("int"))  # at most 16 rows
+    numbered = checkpointed(top.withColumn("sample_index", (F.row_number().over(W.orderBy("stable_image_id")) - 1).cast("int")))  # at most 16 rows
     held = decoded.select("source_root_id", "relative_path", "height", "width", F.col("channels"), F.col("dtype"), "pixels").join(F.broadcast(numbered.select("source_root_id", "relative_path", "sample_index")), ["source_root_id", "relative_path"])
     built = checkpointed(vectors.composites(held, config))
-    return _write_samples(spark, built, config, out, {"calibration_status": config.get("calibration_data_status", "exploratory_unpartitioned"), "synthetic_split": mix.get("synthetic_split", "calibration")})
-
-
-def _write_samples(spark: SparkSession, built: DataFrame, config: dict, out: str, more: dict) -> DataFrame:
-    written = vectors.export_samples(built, out).collect()  # 8 to 16 rows
+    status = config.get("calibration_data_status", EXPLORATORY[0])
+    own = {}
+    for r in numbered.select("sample_index", "source_root_id", "stable_image_id", "relative_path", "source_sha256", "acquisition_group", "shape_y", "shape_x", "blank_status").collect():
+        own[r["sample_index"]] = artifact_metadata("real_blank_composite_sample", config, {}, [r["stable_image_id"]], status) | {
+            "source_blank_provenance": {
+                "source_root_id": r["source_root_id"], "blank_stable_image_id": r["stable_image_id"], "blank_relative_path": r["relative_path"], "blank_sha256": r["source_sha256"], "blank_acquisition_group": r["acquisition_group"],
+                "crop_coordinates": [0, 0, r["shape_x"], r["shape_y"]], "blank_status": r["blank_status"] or BLANK_PROVENANCE["blank_status"],
+            }
+        }
+    more = {"synthetic_split": mix.get("synthetic_split", "calibration"), "geometry_parameters": geometry, "renderer_configuration": config.get("real_blank_rendering", {}), "compositor_configuration": mix, "alignment_statement": ALIGNMENT}
+    seeds = {"geometry_seed": int(geometry.get("base_seed", 1234)), "rendering_seed": int(mix.get("base_seed", 43001)), "compositing_seed": int(mix.get("base_seed", 43001))}
+    return _write_samples(spark, built, config, out, more, seeds, own)
+
+
+def _write_samples(spark: SparkSession, built: DataFrame, config: dict, out: str, more: dict, seeds: dict[str, int], own: dict[int, dict]) -> DataFrame:
+    """NPZ, metadata and manifest of 8 to 16 samples; ``seeds`` are those of sample 0, ``own`` are parts by sample index."""
+    written = vectors.export_samples(built, out).collect()
+    layout: dict[str, dict] = {}
+    for r in files.read_npz(built.select(F.col("sample_id").alias("relative_path"), F.col("npz").alias("content"))).select("relative_path", "name", "dtype", "shape").collect():
+        layout.setdefault(r["relative_path"], {})[r["name"]] = (r["dtype"].lstrip("<>|="), r["shape"])
     extra = {r["sample_id"]: r for r in built.select("sample_id", "sample_index", "arrays", "counts").collect()}
+    names = {k: config.get(k, v) for k, v in VERSIONS.items()}
     rows = []
     for r in sorted(written, key=lambda r: r["sample_id"]):
-        e = extra[r["sample_id"]]
-        doc = {"sample_id": r["sample_id"], "sample_index": e["sample_index"], "generation_config": config, "array_names": e["arrays"], "rendering_report": e["counts"], "integrity_checksum": {"npz_sha256": r["npz_sha256"]}, **more}
-        sinks.write_json(doc, f"{out}/{r['sample_id']}.json")
-        digest = hashlib.sha256(Path(out, r["sample_id"] + ".json").read_bytes()).hexdigest()
-        rows.append((r["sample_id"], r["npz_path"], r["npz_sha256"], f"{r['sample_id']}.json", digest, config.get("schema_version", "1"), config.get("generator_version", "skeinworks-1")))
+        e, shapes = extra[r["sample_id"]], layout[r["sample_id"]]
+        counts = dict(e["counts"])
+        doc = {
+            "sample_id": r["sample_id"], "sample_index": e["sample_index"], "dataset_schema_version": names["schema_version"], "generator_version": names["generator_version"], "generation_config": config,
+            "array_names": e["arrays"], "dtypes": {k: v[0] for k, v in shapes.items()}, "shapes": {k: list(v[1]) for k, v in shapes.items()}, "enum_mappings": {"node_type": strands.NODE_KINDS},
+            "rendering_report": counts, "clipping_count": int(counts.get("clipped_low_count", 0) + counts.get("clipped_high_count", 0)), "saturation_count": int(counts.get("saturation_count", 0)),
+            "integrity_checksum": {"npz_sha256": r["npz_sha256"]}, **{k: v + e["sample_index"] for k, v in seeds.items()}, **more, **own.get(e["sample_index"], {}),
+        }
+        text = sinks.canonical_json(doc).encode()
+        sinks.put_bytes(out, f"{r['sample_id']}.json", text)
+        rows.append((r["sample_id"], r["npz_path"], r["npz_sha256"], f"{r['sample_id']}.json", hashlib.sha256(text).hexdigest(), *names.values()))
     manifest = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in SAMPLE_COLUMNS))
     sinks.write_csv_file(manifest, f"{out}/dataset_manifest.csv", SAMPLE_COLUMNS)
     return manifest
 
 
-def validate_sample_folder(spark: SparkSession, folder: str, config: dict | None = None) -> DataFrame:
-    """Violations of a sample folder: manifest, checksums of both files, arrays, and regeneration with ``config``."""
-    manifest = files.read_csv(spark, f"{folder}/dataset_manifest.csv")
-    disk = files.scan_files(spark, folder, "*.{npz,json}").select("relative_path", F.sha2("content", 256).alias("hash"), "content")
+def _file_violations(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
+    disk = files.scan_files(spark, folder, "*.{npz,json}").select("relative_path", F.sha2("content", 256).alias("hash"))
     listed = manifest.select(F.col("npz_path").alias("relative_path"), F.col("npz_sha256").alias("hash")).unionByName(manifest.select(F.col("json_path").alias("relative_path"), F.col("json_sha256").alias("hash")))
-    found = rules.run_rules([rules.same_on_both("checksum", "manifest", "files", "relative_path", ["hash"])], {"manifest": listed, "files": disk.select("relative_path", "hash")})
+    return rules.run_rules([rules.same_on_both("checksum", "manifest", "files", "relative_path", ["hash"])], {"manifest": listed, "files": disk})
+
+
+def _packed_files(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
+    disk = files.scan_files(spark, folder, "*.npz").select(F.col("relative_path").alias("npz_path"), F.col("content").alias("npz"))
     index = F.regexp_extract("sample_id", r"_(\d+)$", 1).cast("int")
-    packed = manifest.join(disk, manifest["npz_path"] == disk["relative_path"]).select("sample_id", index.alias("sample_index"), F.col("content").alias("npz"))
-    return found.unionByName(vectors.sample_violations(packed, config))
+    return manifest.join(disk, "npz_path").select("sample_id", index.alias("sample_index"), "npz")
+
+
+def validate_sample_folder(spark: SparkSession, folder: str, config: dict | None = None, metadata: bool = False) -> DataFrame:
+    """Violations of a sample folder: manifest, checksums of both files, arrays, and regeneration with ``config``.
+
+    With ``metadata`` also the versions, state and provenance that the JSON files of procedural samples must name.
+    """
+    manifest = files.read_csv(spark, f"{folder}/dataset_manifest.csv")
+    found = _file_violations(spark, manifest, folder).unionByName(vectors.sample_violations(_packed_files(spark, manifest, folder), config))
+    if not metadata:
+        return found
+    docs = files.scan_files(spark, folder, "*.json").select(F.col("relative_path").alias("json_path"), F.decode("content", "UTF-8").alias("doc")).join(manifest.select("json_path", "sample_id"), "json_path")
+    names = {k: (config or {}).get(k, v) for k, v in VERSIONS.items()}
+    wanted = {"dataset_schema_version": names["schema_version"], "generator_version": names["generator_version"], "calibration_status": SAMPLE_STATUS, "source_blank_provenance": NO_BLANK}
+    return reduce(DataFrame.unionByName, [found, *[rules.violations(docs.where(~F.get_json_object("doc", f"$.{k}").eqNullSafe(v)), k, "sample_id", f"must be {v}") for k, v in wanted.items()]])
 
 
 #: Nested fields of a literature card that make a comparison row.
@@ -299,3 +401,20 @@ def validate_records(cards: DataFrame, claims: DataFrame, manifest: DataFrame, s
         *[v(documents.foreign_evidence(claims, "claim_id", f"{k}_evidence_ids", f"{k}_papers"), f"{k}_papers", "claim_id", F.concat("evidence", F.lit(" belongs to no listed paper"))) for k in ("supporting", "limiting")],
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+#: Columns of the comparison table.
+COMPARISON_COLUMNS = list(COMPARISON)
+
+
+def validate_knowledge_base(cards: DataFrame, claims: DataFrame, manifest: DataFrame, schema: dict, version: str, pdfs: DataFrame | None = None, table: DataFrame | None = None, outputs: dict[str, str] | None = None) -> DataFrame:
+    """All violations of a literature corpus: records, manifest with its PDFs, provenance, claim set, table and generated files.
+
+    ``table`` is the stored comparison table as text cells; ``outputs`` are the texts that the generated files must have, by path.
+    """
+    parts = [validate_records(cards, claims, manifest, schema), literature.manifest_violations(manifest, version, pdfs), literature.card_violations(cards, manifest), literature.claim_violations(claims, manifest)]
+    if table is not None:
+        parts.append(literature.table_drift(documents.projected(cards.join(manifest.select("cite_key"), "cite_key", "left_semi"), "text", COMPARISON), table, "cite_key", COMPARISON_COLUMNS))
+    if outputs is not None:
+        parts.append(literature.stale_outputs(cards.sparkSession, sinks.write_or_check(outputs, check=True)))
+    return reduce(DataFrame.unionByName, parts)

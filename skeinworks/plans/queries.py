@@ -409,7 +409,7 @@ _SCHEMA = {"type": "object", "required": ["k"], "additionalProperties": False, "
 _register(
     "schema_violations",
     lambda s, d: documents.schema_violations(_t(s, d, "events"), "event_id", "props", _SCHEMA),
-    "SELECT event_id, '$.k' AS path, CASE WHEN k < 10 THEN 'must be at least 10' ELSE 'must be at most 89' END AS message FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) WHERE k < 10 OR k > 89",
+    "SELECT event_id, '$.k' AS path, CASE WHEN k < 10 THEN 'is below 10' ELSE 'is above 89' END AS message FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) WHERE k < 10 OR k > 89",
 )
 _register(
     "list_flatten",
