@@ -12,6 +12,7 @@ from ..functions import spelling as S
 from ..functions import text as X
 from ..operators import documents, duplicates, images, kernels, roles, rules, selection, vectors
 from ..session import checkpointed, table
+from ..sources.files import sample_range
 from . import sqltext as Q
 
 SIDE, KEY = 8, "vec_id"
@@ -441,38 +442,49 @@ _register(
 
 # --- vector geometry ------------------------------------------------------------------------------------------------
 
-#: Three strands on a 32 x 32 grid (strand, segment, x0, y0, x1, y1, radius, intensity); 1 and 3 share a node.
-SEGMENT_ROWS = [(1, 0, 2.0, 3.0, 20.0, 22.0, 1.5, 10.0), (1, 1, 20.0, 22.0, 30.0, 22.0, 1.5, 10.0), (2, 0, 4.0, 25.0, 28.0, 4.0, 2.0, 5.0), (3, 0, 30.0, 22.0, 12.0, 4.0, 1.0, 7.0), (3, 1, 12.0, 4.0, 12.0, 4.0, 1.0, 7.0)]
+#: Side of the raster on which each vector's strands are drawn.
+RASTER = 32
+#: Three strands of one or two segments from the first ten numbers of a vector (strand, segment, four places in it, radius, intensity); 1 and 3 share a node.
+SEGMENT_PLACES = [(1, 0, (1, 2, 3, 4), 1.5, 10.0), (1, 1, (3, 4, 5, 6), 1.5, 10.0), (2, 0, (7, 8, 1, 3), 2.0, 5.0), (3, 0, (5, 6, 9, 10), 1.0, 7.0), (3, 1, (9, 10, 9, 10), 1.0, 7.0)]
 NODE_ROWS = [(1, 0), (1, 1), (2, 2), (2, 3), (3, 1), (3, 4)]
 
 
-def literal_segments(spark: SparkSession) -> DataFrame:
-    """The literal strands as a segment table."""
-    return spark.createDataFrame([("s", *r) for r in SEGMENT_ROWS], "sample_id string, fiber_id int, seq int, x0 double, y0 double, x1 double, y1 double, radius double, intensity double")
+def vector_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strands of every vector as a segment table; a sample per vector."""
+    at = lambda i: F.lit(RASTER / 2) + F.lit(40.0) * F.col("embedding")[i - 1].cast("double")
+    rows = [F.struct(F.lit(f).alias("fiber_id"), F.lit(q).alias("seq"), *[at(i).alias(n) for i, n in zip(p, ("x0", "y0", "x1", "y1"))], F.lit(r).alias("radius"), F.lit(v).alias("intensity")) for f, q, p, r, v in SEGMENT_PLACES]
+    return _t(spark, sf_dir, "embeddings").select(F.col(KEY).alias("sample_id"), F.explode(F.array(*rows)).alias("s")).select("sample_id", "s.*")
 
 
-_SEG = "seg(f, q, x0, y0, x1, y1, r, i) AS (VALUES " + ", ".join("(" + ", ".join(f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in SEGMENT_ROWS) + ")"
+def vector_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of those strands."""
+    rows = F.array(*[F.struct(F.lit(f).alias("fiber_id"), F.lit(n).alias("node")) for f, n in NODE_ROWS])
+    return _t(spark, sf_dir, "embeddings").select(F.col(KEY).alias("sample_id"), F.explode(rows).alias("n")).select("sample_id", "n.*")
+
+
+_SEG = "seg AS (" + " UNION ALL ".join(
+    f"SELECT vec_id AS id, {f} AS f, {q} AS q, " + ", ".join(f"{RASTER / 2}e0 + 40e0 * CAST(embedding[{i}] AS DOUBLE) AS {n}" for i, n in zip(p, ("x0", "y0", "x1", "y1"))) + f", {r}::DOUBLE AS r, {v}::DOUBLE AS i FROM embeddings" for f, q, p, r, v in SEGMENT_PLACES
+) + ")"
 _MEM = (
-    f"{_SEG}, g AS (SELECT y, x, y + 0.5e0 AS cy, x + 0.5e0 AS cx FROM range(32) a(y), range(32) b(x)), t AS (SELECT f, i, y, x, cx, cy, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy, r, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS s FROM seg, g), "
-    "u AS (SELECT *, CASE WHEN s > 1e-6 THEN greatest(0e0, least(1e0, ((cx - x0) * dx + (cy - y0) * dy) / s)) ELSE 0e0 END AS k FROM t), mem AS (SELECT DISTINCT f, i, y, x FROM u WHERE pow(cx - x0 - k * dx, 2) + pow(cy - y0 - k * dy, 2) <= r * r)"
+    f"{_SEG}, g AS (SELECT y, x, y + 0.5e0 AS cy, x + 0.5e0 AS cx FROM range({RASTER}) a(y), range({RASTER}) b(x)), t AS (SELECT id, f, i, y, x, cx, cy, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy, r, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS s FROM seg, g), "
+    "u AS (SELECT *, CASE WHEN s > 1e-6 THEN greatest(0e0, least(1e0, ((cx - x0) * dx + (cy - y0) * dy) / s)) ELSE 0e0 END AS k FROM t), mem AS (SELECT DISTINCT id, f, i, y, x FROM u WHERE pow(cx - x0 - k * dx, 2) + pow(cy - y0 - k * dy, 2) <= r * r)"
 )
-_register("rasterize", lambda s, d: vectors.rasterized(literal_segments(s), 32, 32).select("fiber_id", "y", "x", "intensity"), f"WITH {_MEM} SELECT f AS fiber_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, i AS intensity FROM mem")
-_register("overlap_counts", lambda s, d: vectors.accumulated(vectors.rasterized(literal_segments(s), 32, 32)).select("y", "x", "source", "overlap"), f"WITH {_MEM} SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, sum(i) AS source, count(*) AS overlap FROM mem GROUP BY ALL")
+_register("rasterize", lambda s, d: vectors.rasterized(vector_segments(s, d), RASTER, RASTER).select("sample_id", "fiber_id", "y", "x", "intensity"), f"WITH {_MEM} SELECT id AS sample_id, f AS fiber_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, i AS intensity FROM mem")
+_register("overlap_counts", lambda s, d: vectors.accumulated(vectors.rasterized(vector_segments(s, d), RASTER, RASTER)).select("sample_id", "y", "x", "source", "overlap"), f"WITH {_MEM} SELECT id AS sample_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, sum(i) AS source, count(*) AS overlap FROM mem GROUP BY ALL")
 _register(
     "crossings",
-    lambda s, d: rounded(vectors.crossing_hits(literal_segments(s), s.createDataFrame([("s", *r) for r in NODE_ROWS], "sample_id string, fiber_id int, node int")).drop("sample_id")),
-    f"WITH {_SEG}, n(f, k) AS (VALUES " + ", ".join(map(str, NODE_ROWS)) + "), p AS (SELECT a.f AS a, b.f AS b, a.q AS seq_a, b.q AS seq_b, a.x0 AS ax, a.y0 AS ay, a.x1 - a.x0 AS ux, a.y1 - a.y0 AS uy, b.x1 - b.x0 AS vx, b.y1 - b.y0 AS vy, b.x0 - a.x0 AS gx, b.y0 - a.y0 AS gy FROM seg a JOIN seg b ON a.f < b.f WHERE NOT EXISTS (SELECT 1 FROM n m JOIN n o ON m.k = o.k WHERE m.f = a.f AND o.f = b.f)), "
+    lambda s, d: rounded(vectors.crossing_hits(vector_segments(s, d), vector_nodes(s, d))),
+    f"WITH {_SEG}, n(f, k) AS (VALUES " + ", ".join(map(str, NODE_ROWS)) + "), p AS (SELECT a.id, a.f AS a, b.f AS b, a.q AS seq_a, b.q AS seq_b, a.x0 AS ax, a.y0 AS ay, a.x1 - a.x0 AS ux, a.y1 - a.y0 AS uy, b.x1 - b.x0 AS vx, b.y1 - b.y0 AS vy, b.x0 - a.x0 AS gx, b.y0 - a.y0 AS gy FROM seg a JOIN seg b ON a.id = b.id AND a.f < b.f WHERE NOT EXISTS (SELECT 1 FROM n m JOIN n o ON m.k = o.k WHERE m.f = a.f AND o.f = b.f)), "
     "h AS (SELECT *, ux * vy - uy * vx AS det FROM p WHERE abs(ux * vy - uy * vx) >= 1e-6), k AS (SELECT *, (gx * vy - gy * vx) / det AS t, (gx * uy - gy * ux) / det AS w FROM h) "
-    f"SELECT a, b, seq_a, seq_b, {_r('ax + t * ux', 'x')}, {_r('ay + t * uy', 'y')} FROM k WHERE t BETWEEN 0 AND 1 AND w BETWEEN 0 AND 1",
+    f"SELECT id AS sample_id, a, b, seq_a, seq_b, {_r('ax + t * ux', 'x')}, {_r('ay + t * uy', 'y')} FROM k WHERE t BETWEEN 0 AND 1 AND w BETWEEN 0 AND 1",
 )
-GEOMETRY = {"image_shape": [96, 96], "base_seed": 10, "fiber_count_range": [6, 9], "points_per_fiber": 24, "fiber_radius_px": 2.0}
+#: Shape, points and strand numbers of the published configuration.
+GEOMETRY = {"image_shape": [1024, 1024], "base_seed": 10, "fiber_count_range": [7, 12], "points_per_fiber": 96, "fiber_radius_px": 2.0}
 SAMPLE = {"geometry": GEOMETRY, "rendering": {"base_seed": 20, "psf_sigma_px": 0.5, "background_noise_std": 1.0}}
 
 
 def generated(spark: SparkSession) -> DataFrame:
     """Geometries of eight samples."""
-    from ..sources.files import sample_range
-
     return vectors.geometries(sample_range(spark, 8), GEOMETRY)
 
 
@@ -490,18 +502,17 @@ _register("geometry_crossings", geometry_crossings)
 
 def sample_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with their hash and mapping counts."""
-    from ..sources.files import sample_range
-
     return vectors.samples(sample_range(spark, 8), SAMPLE).select("sample_id", "npz_sha256", F.size("arrays").alias("n_arrays"), F.col("counts")["saturation_count"].alias("saturated"))
 
 
 _register("sample_set", sample_set)
-_register("sample_violations", lambda s, d: vectors.sample_violations(vectors.samples(__import__("skeinworks.sources.files", fromlist=["x"]).sample_range(s, 8), SAMPLE), SAMPLE))
+_register("sample_violations", lambda s, d: vectors.sample_violations(vectors.samples(sample_range(s, 8), SAMPLE), SAMPLE))
 
 
 def composite_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples composited onto flat backgrounds."""
-    blanks = spark.range(8).select(F.col("id").cast("int").alias("sample_index"), F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit(1).alias("channels"), F.lit("uint8").alias("dtype"), F.unhex(F.repeat(F.lpad(F.hex(F.col("id") + 4), 2, "0"), 64 * 64)).alias("pixels"))
+    """Samples composited onto backgrounds of the published size, each with a level of its own."""
+    side = GEOMETRY["image_shape"][0]
+    blanks = sample_range(spark, 8).select("sample_index", F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(1).alias("channels"), F.lit("uint8").alias("dtype"), F.unhex(F.repeat(F.lpad(F.hex(F.col("sample_index") + 4), 2, "0"), side * side)).alias("pixels"))
     return vectors.composites(blanks, {"geometry": {**GEOMETRY, "base_seed": 1}, "compositing": {"base_seed": 3}, "real_blank_rendering": {"psf_sigma_px": 0.5}}).select("sample_id", "npz_sha256", F.size("arrays").alias("n_arrays"))
 
 

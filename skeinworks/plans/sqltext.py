@@ -41,6 +41,10 @@ def path(x: str) -> str:
     return f"nullif({x}, '')"
 
 
+def whole_number(x: str) -> str:
+    return f"(CASE WHEN abs({x} - round_even({x}, 0)) <= greatest(1e-9, 1e-9 * greatest(abs({x}), abs(round_even({x}, 0)))) THEN CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR) ELSE format('{{:.6g}}', CAST({x} AS DOUBLE)) END)"
+
+
 P6_FOUND = f"""
 WITH refs AS (
   SELECT ref_table, record_key, parent, k, min(shown) AS shown, min(t) AS t FROM (

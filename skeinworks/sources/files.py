@@ -37,7 +37,15 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
         reader = reader.option("pathGlobFilter", glob)
     base = qualified(spark, root)
     rel = F.expr(f"substring(path, {len(base) + 2})")
-    return reader.load(base).select(rel.alias("relative_path"), "length", "content").withColumn("path_order", F.split("relative_path", "/"))
+    filled = reader.load(base).select("path", "length", "content")
+    # the reader lists empty files but gives no row for them: where there are some, they are what the listing has besides
+    listed, rows = filled._jdf.inputFiles(), filled
+    if len(listed) > filled.select("path").count():
+        names = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", listed).split("\n")
+        name = F.regexp_replace(F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B"))), "^([a-z][a-z0-9+.-]*):///", "$1:/")
+        empty = spark.createDataFrame(pd.DataFrame({"value": names})).select(name.alias("path")).join(filled.select("path"), "path", "left_anti")
+        rows = filled.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+    return rows.select(rel.alias("relative_path"), "length", "content").withColumn("path_order", F.split("relative_path", "/"))
 
 
 def decode_images(files: DataFrame, root_id: str, source_kind: str) -> DataFrame:

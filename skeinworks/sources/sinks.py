@@ -24,7 +24,7 @@ def csv_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """A folder of CSV parts written by the executors, each with header."""
-    csv_columns(df, columns).write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
+    csv_columns(df, columns).write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def write_csv_file(df: DataFrame, path: str | Path, columns: list[str]) -> None:

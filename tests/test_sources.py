@@ -145,3 +145,12 @@ def test_pixel_hash_is_the_same_on_both_sides(spark):
     a = np.arange(12, dtype=np.uint8).reshape(3, 4)
     df = spark.createDataFrame([(3, 4, "uint8", bytearray(a.tobytes()))], "h int, w int, t string, p binary")
     assert df.select(pixel_hash(F.col("h"), F.col("w"), F.col("t"), F.col("p"))).first()[0] == kernels.pixel_hash(a)
+
+
+def test_empty_files_have_a_row(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    for name, data in (("a b/x+y.tif", b""), ("a b/full.tif", b"xx"), ("ü%20.tif", b"")):
+        (tmp_path / name).write_bytes(data)
+    got = {r.relative_path: (r.length, bytes(r.content)) for r in files.scan_files(spark, str(tmp_path)).collect()}
+    assert got == {"a b/x+y.tif": (0, b""), "a b/full.tif": (2, b"xx"), "ü%20.tif": (0, b"")}
+    assert all(r.error for r in files.decode_images(files.scan_files(spark, str(tmp_path)), "r", "k").collect())
