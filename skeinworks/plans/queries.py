@@ -46,6 +46,8 @@ def vector_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PX = "px AS (SELECT vec_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i))"
+#: Distance of a corner from the centre of an image.
+_FAR = (4.0**2 + 4.0**2) ** 0.5
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -125,7 +127,6 @@ _register(
     lambda s, d: pixels(s, d).withColumn("level", images.uint8_levels(F.col("v"), -0.5, 0.5)).groupBy(KEY).agg(F.sum("level").alias("total"), F.count_if(F.col("v") < -0.5).alias("clipped_low"), F.count_if(F.col("v") > 0.5).alias("clipped_high"), F.count_if(F.col("level") == 255).alias("saturated")),
     f"WITH {_PX}, l AS (SELECT *, CAST(round_even(greatest(0e0, least(1e0, (v + 0.5e0) / 1e0)) * 255, 0) AS INT) AS level FROM px) SELECT vec_id, CAST(sum(level) AS BIGINT) AS total, count(*) FILTER (v < -0.5) AS clipped_low, count(*) FILTER (v > 0.5) AS clipped_high, count(*) FILTER (level = 255) AS saturated FROM l GROUP BY vec_id",
 )
-_FAR = (4.0**2 + 4.0**2) ** 0.5
 _register(
     "radial_rings",
     lambda s, d: rounded(images.radial_rings(pixels(s, d), KEY, (SIDE, SIDE), 5)),
@@ -157,7 +158,24 @@ _register("kernel_profile", lambda s, d: rounded(images.map_images(vector_images
 _register("kernel_statistics", lambda s, d: images.image_statistics(vector_images(s, d), [KEY], block=4, sigma=1.0, size=8, bins=4))
 _register("kernel_proxies", lambda s, d: images.image_proxies(vector_images(s, d), [KEY], k=2.0))
 _register("kernel_decompositions", lambda s, d: images.decompositions(vector_images(s, d), [KEY], [0.5, 1.0], size=8, bins=4))
-_register("kernel_spectra", lambda s, d: images.spectra(vector_images(s, d), [KEY], 8, 4))
+
+
+def kernel_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of the power spectrum (as logarithms) and of the autocorrelation, and the directional ratio, of each image."""
+    out = images.spectra(vector_images(spark, sf_dir), [KEY], SIDE, 4)
+    rings = [F.log10(F.col("power")[i].cast("double") + 1).alias(f"power_{i}") for i in range(4)] + [F.col("autocorrelation")[i].cast("double").alias(f"autocorrelation_{i}") for i in range(4)]
+    return rounded(out.select(KEY, *rings, F.log10(F.col("directional_ratio") + 1).alias("direction")), 2)
+
+
+_register(
+    "kernel_spectra", kernel_spectra,
+    f"WITH {_PX}, l AS (SELECT vec_id, y, x, round_even(greatest(0e0, least(1e0, v + 0.5e0)) * 255, 0) AS v FROM px), c AS (SELECT vec_id, y, x, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM l), k AS (SELECT a AS u, b AS w, (a + 4) % 8 AS row, (b + 4) % 8 AS col FROM range(8) s(a), range(8) t(b)), "
+    "p AS (SELECT vec_id, row, col, pow(sum(v * cos(pi() / 4 * (u * y + w * x))), 2) + pow(sum(v * sin(pi() / 4 * (u * y + w * x))), 2) AS p FROM c, k GROUP BY ALL), "
+    "q AS (SELECT a.vec_id, (b.y - a.y + 12) % 8 AS row, (b.x - a.x + 12) % 8 AS col, sum(a.v * b.v) AS ac FROM c a JOIN c b ON a.vec_id = b.vec_id GROUP BY ALL), z AS (SELECT vec_id, ac AS z FROM q WHERE row = 4 AND col = 4), "
+    f"r AS (SELECT p.vec_id, p.row, p.col, p, CASE WHEN z <> 0 THEN ac / z ELSE ac END AS ac, floor(sqrt((p.row - 4e0) * (p.row - 4e0) + (p.col - 4e0) * (p.col - 4e0)) * 4 / {_FAR!r}::DOUBLE) AS ring FROM p JOIN q ON p.vec_id = q.vec_id AND p.row = q.row AND p.col = q.col JOIN z ON z.vec_id = p.vec_id) "
+    "SELECT vec_id, " + ", ".join(f"round(log10(avg(p) FILTER (ring = {i}) + 1), 2) + 0.0 AS power_{i}, round(avg(ac) FILTER (ring = {i}), 2) + 0.0 AS autocorrelation_{i}" for i in range(4))
+    + ", round(log10(avg(p) FILTER (row BETWEEN 2 AND 6) / greatest(avg(p) FILTER (col BETWEEN 2 AND 6), 1e-9) + 1), 2) + 0.0 AS direction FROM r GROUP BY vec_id",
+)
 
 # --- duplicates -----------------------------------------------------------------------------------------------------
 
@@ -196,7 +214,31 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("near_dup_pairs", near_dup_pairs, f"SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", {_r('list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', 'score')} FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {NCC}")
-_register("near_dup_groups", lambda s, d: duplicates.fold_pairs(near_dup_pairs(s, d).withColumns({"scope": F.lit("all"), "i": F.col("left"), "j": F.col("right")}), "scope", "near_duplicate_candidate"))
+_register(
+    "near_dup_groups", lambda s, d: duplicates.fold_pairs(near_dup_pairs(s, d).withColumns({"scope": F.lit("all"), "i": F.col("left"), "j": F.col("right")}), "scope", "near_duplicate_candidate"),
+    f"WITH RECURSIVE s AS (SELECT a.vec_id AS l, b.vec_id AS r, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS w FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), p AS (SELECT *, row_number() OVER (ORDER BY l, r) AS k FROM s WHERE w >= {NCC}), "
+    "f AS (SELECT 0::BIGINT AS k, 0 AS n, MAP {0::BIGINT: 0} AS g UNION ALL SELECT f.k + 1, CASE WHEN g[l] IS NULL AND g[r] IS NULL THEN n + 1 ELSE n END, map_concat(g, MAP {l: coalesce(g[l], g[r], n + 1), r: coalesce(g[l], g[r], n + 1)}) FROM f JOIN p ON p.k = f.k + 1), "
+    "e AS (SELECT unnest(map_entries(g)) AS e FROM f ORDER BY k DESC LIMIT (SELECT count(DISTINCT x) + 1 FROM (SELECT l AS x FROM p UNION ALL SELECT r FROM p))), last AS (SELECT x, arg_max(w, k) AS w FROM (SELECT l AS x, w, k FROM p UNION ALL SELECT r, w, k FROM p) GROUP BY x) "
+    f"SELECT 'all' AS scope, e.key AS id, 'near_duplicate_candidate_' || lpad(CAST(e.value AS VARCHAR), 3, '0') AS \"group\", {_r('w', 'score')} FROM (SELECT e FROM e) t JOIN last ON last.x = e.key",
+)
+
+
+def near_dup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs at the published threshold within a scope, known duplicates excluded: vectors, slightly changed and equal copies."""
+    v = _t(spark, sf_dir, "embeddings").select(F.col(KEY).alias("i"), F.col("embedding").cast("array<double>").alias("e"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("copy"), F.lit(x).alias("by")) for n, x in ((0, 0.0), (1, 0.01), (2, 0.05), (3, 0.0))]))
+    moved = v.select("i", "e", kinds.alias("k")).select((F.col("i") * 4 + F.col("k.copy")).alias("id"), (F.col("i") % 3).alias("scope"), F.when(F.col("k.by") == 0, F.col("i")).alias("ex"), F.transform("e", lambda x, j: x + F.when(j % 2 == 0, F.col("k.by")).otherwise(-F.col("k.by"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    unit = moved.select("id", "scope", "ex", norm.alias("n"), "v").select("id", "scope", "ex", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    return rounded(duplicates.near_pairs(unit, 0.995, "id", "v", "scope", "ex"))
+
+
+_register(
+    "near_dup_exact", near_dup_exact,
+    "WITH m AS (SELECT vec_id * 4 + c AS id, vec_id % 3 AS s, CASE WHEN b = 0 THEN vec_id END AS ex, list_transform(embedding::DOUBLE[], lambda x, j: x + CASE WHEN j % 2 = 1 THEN b ELSE -b END) AS v FROM embeddings, (VALUES (0, 0e0), (1, 0.01e0), (2, 0.05e0), (3, 0e0)) k(c, b)), "
+    "u AS (SELECT id, s, ex, v, sqrt(list_dot_product(v, v)) AS n FROM m), w AS (SELECT a.id AS l, b.id AS r, list_dot_product(a.v, b.v) / (a.n * b.n) AS score FROM u a JOIN u b ON a.id < b.id AND a.s = b.s WHERE a.ex IS NULL OR b.ex IS NULL OR a.ex <> b.ex) "
+    f"SELECT l AS \"left\", r AS \"right\", {_r('score', 'score')} FROM w WHERE score >= 0.995",
+)
 
 # --- roles, strata and rules ----------------------------------------------------------------------------------------
 
