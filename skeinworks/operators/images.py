@@ -42,6 +42,13 @@ def map_images(images: DataFrame, kernel, schema: str, keys: list[str]) -> DataF
     return wanted.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + schema)
 
 
+def with_identity(measures: DataFrame, rows: DataFrame, key: str, fields: list[str], missing: str = "unknown") -> DataFrame:
+    """Measures with the identity fields of their row; where the row, the field or its value is absent, ``missing`` stands."""
+    known = rows.select(key, *[F.col(c).cast("string").alias(f"__{c}") for c in fields if c in rows.columns])
+    out = measures.drop(*[c for c in fields if c != key]).join(known, key, "left")
+    return out.select("*", *[F.coalesce(F.col(f"__{c}") if c in rows.columns else F.lit(None), F.lit(missing)).alias(c) for c in fields]).drop(*[f"__{c}" for c in fields])
+
+
 PROFILE_SCHEMA = ", ".join(f"{c} double" for c in ["min", "max", "mean", "std", *K.PERCENTILE_NAMES, "saturation_value"]) + ", saturation_count long, zero_count long, pixel_sha256 string, thumbnail_hash string, thumbnail array<float>, flags array<string>"
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .png import MAGIC, read_png
 from .tiff import read_pages
 
 IMAGE_SCHEMA = "source_root_id string, relative_path string, source_kind string, source_sha256 string, height int, width int, channels int, frames int, dtype string, pixels binary, error string"
@@ -51,7 +52,8 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
 def decode_images(files: DataFrame, root_id: str, source_kind: str) -> DataFrame:
     """First frame of every file as a row of ``IMAGE_SCHEMA``; a file that can't be read keeps its row.
 
-    One decode per file in Arrow batches; ``error`` names the kind of failure
+    TIFF or PNG, told apart by their first bytes. One decode per file in Arrow
+    batches; ``error`` names the kind of failure
     and the image columns are then null.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,7 +62,7 @@ def decode_images(files: DataFrame, root_id: str, source_kind: str) -> DataFrame
             for path, sha, content in zip(b["relative_path"], b["sha"], b["content"]):
                 head = (root_id, path, source_kind, sha)
                 try:
-                    pages = read_pages(bytes(content))
+                    pages = [read_png(content)] if content.startswith(MAGIC) else read_pages(bytes(content))
                     a = pages[0]
                     rows.append((*head, a.shape[0], a.shape[1], 1 if a.ndim == 2 else a.shape[2], len(pages), a.dtype.name, np.ascontiguousarray(a).tobytes(), None))
                 except Exception as e:  # noqa: BLE001 - every failure becomes a row

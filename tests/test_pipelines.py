@@ -109,3 +109,22 @@ def test_synthesis_and_comparison(spark):
     claims = spark.createDataFrame([("L1", "limitation", "T", "C", "k", ["a"], [], [], [], "low", None, "i"), ("F2", "finding", "T", "C", "k", [], ["a-E1"], [], [], "high", "supported", "i")], "claim_id string, section string, title string, claim string, claim_class string, supporting_papers array<string>, supporting_evidence_ids array<string>, limiting_papers array<string>, limiting_evidence_ids array<string>, confidence string, hypothesis_status string, sted_implication string")
     text = P.synthesis(claims)
     assert text.index("## finding") < text.index("## limitation") and "**Supporting papers:** None" in text and "**Hypothesis status:** `supported`" in text
+
+
+def test_figures(spark, folders, tables):
+    from skeinworks.plans import figures
+    from skeinworks.sources import png
+
+    decoded = files.decode_images(files.scan_files(spark, str(folders / "blanks")), "sted_blank_data", "blank_background")
+    sheet, ids = figures.contact_sheet(decoded, tables[1], 32)
+    assert png.read_png(sheet).shape == (32, 32 * len(ids)) and 1 <= len(ids) <= 3
+    rows = spark.createDataFrame([("a", float(i)) for i in range(1000)] + [("b", 3.0), ("b", 1.0), ("b", None), ("b", float("nan")), (None, 1.0)], "kind string, v double")
+    series = figures.series_by_kind(rows, "kind", "v", 11)
+    assert series["b"] == [1.0, 3.0] and len(series["a"]) == 11 and series["a"][0] == 0 and abs(series["a"][5] - 500) < 2
+    assert png.read_png(figures.kind_figure(rows, "kind", "v")).ndim == 3
+    arrays = files.read_npz(spark.createDataFrame([(n, sinks.npz_bytes({"x": np.arange(50.0).reshape(5, 10) * k, "y": np.ones((5, 10))})) for k, n in ((1, "s1"), (2, "s2"))], "relative_path string, content binary"))
+    line = png.read_png(figures.transverse_figure(arrays, ["x", "y", "absent"], 10))
+    assert line.shape[1] == 30 and (line != 255).any()
+    summary = spark.createDataFrame([("f", "a", 2.0), ("f", "b", 1.0)], "field string, g string, median double")
+    bars = png.read_png(figures.median_figure(summary, "g", ["f", "h"], ["a", "b", "c"]))
+    assert (bars[10, 12] == figures.COLOURS[0]).all() and (bars[10, 60] == 255).all() and (bars[200, 60] == figures.COLOURS[1]).all()

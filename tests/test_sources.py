@@ -154,3 +154,52 @@ def test_empty_files_have_a_row(spark, tmp_path):
     got = {r.relative_path: (r.length, bytes(r.content)) for r in files.scan_files(spark, str(tmp_path)).collect()}
     assert got == {"a b/x+y.tif": (0, b""), "a b/full.tif": (2, b"xx"), "ü%20.tif": (0, b"")}
     assert all(r.error for r in files.decode_images(files.scan_files(spark, str(tmp_path)), "r", "k").collect())
+
+
+def test_png_round_trip_and_filters():
+    import struct
+    import zlib
+
+    from skeinworks.sources import png
+
+    rng = np.random.default_rng(3)
+    for shape in ((5, 7), (6, 4, 3)):
+        a = rng.integers(0, 256, shape).astype(np.uint8)
+        assert (png.read_png(sinks.png_bytes(a)) == a).all()
+
+    def packed(rows: bytes, w, h, bits, colour, extra=b""):
+        part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        return png.MAGIC + part(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, colour, 0, 0, 0)) + extra + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+    a = rng.integers(0, 256, (5, 9)).astype(int)
+    lines = b""
+    for y, kind in enumerate((0, 1, 2, 3, 4)):  # each filter by its definition
+        lines += bytes([kind])
+        for x in range(9):
+            left, up, corner = (a[y, x - 1] if x else 0), (a[y - 1, x] if y else 0), (a[y - 1, x - 1] if x and y else 0)
+            p = left + up - corner
+            nearest = left if abs(p - left) <= abs(p - up) and abs(p - left) <= abs(p - corner) else up if abs(p - up) <= abs(p - corner) else corner
+            lines += bytes([(a[y, x] - (0, left, up, (left + up) // 2, nearest)[kind]) % 256])
+    assert (png.read_png(packed(lines, 9, 5, 8, 0)) == a).all()
+    assert png.read_png(packed(b"\0" + struct.pack(">3H", 1, 256, 65535), 3, 1, 16, 0)).tolist() == [[1, 256, 65535]]
+    assert png.read_png(packed(b"\0\xa0", 3, 1, 1, 0)).tolist() == [[255, 0, 255]]
+    palette = struct.pack(">I", 6) + b"PLTE" + bytes([1, 2, 3, 4, 5, 6]) + struct.pack(">I", zlib.crc32(b"PLTE" + bytes([1, 2, 3, 4, 5, 6])))
+    assert png.read_png(packed(b"\0\x40", 2, 1, 1, 3, palette)).tolist() == [[[1, 2, 3], [4, 5, 6]]]
+    for bad in (b"", png.MAGIC, sinks.png_bytes(np.zeros((3, 3), np.uint8))[:50], packed(b"\0", 3, 1, 8, 0)):
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            png.read_png(bad)
+
+
+def test_png_files_are_decoded(spark, tmp_path):
+    a = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    (tmp_path / "a.png").write_bytes(sinks.png_bytes(a))
+    (tmp_path / "b.png").write_bytes(b"\x89PNG\r\n\x1a\nxx")
+    got = {r.relative_path: r for r in files.decode_images(files.scan_files(spark, str(tmp_path)), "r", "k").collect()}
+    assert bytes(got["a.png"].pixels) == a.tobytes() and got["a.png"].height == 3 and got["b.png"].error
+
+
+def test_identity_with_fallbacks(spark):
+    m = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, mean double")
+    rows = spark.createDataFrame([("a", "AD", None)], "id string, cond string, div string")
+    got = {r.id: (r.cond, r["div"], r["round"]) for r in images.with_identity(m, rows, "id", ["cond", "div", "round"]).collect()}
+    assert got == {"a": ("AD", "unknown", "unknown"), "b": ("unknown", "unknown", "unknown")}
