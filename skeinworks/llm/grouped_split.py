@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spelling as S
@@ -16,37 +16,52 @@ SEED = 41
 SHARE_ERROR = 0.01
 
 
+def _number(name: Column, seed: int) -> Column:
+    return F.xxhash64(name, F.lit(seed))
+
+
+def _scattered(x: Column) -> Column:
+    """Another number for each 64-bit number, without order: every step can be undone, so no two get the same."""
+    x = x.bitwiseXOR(F.shiftleft(x, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+    return x.bitwiseXOR(F.shiftleft(x, 17))
+
+
 def _jumped(up: DataFrame) -> DataFrame:
     """Parents ``c, p`` and the parents' parents ``q``."""
     return up.join(up.select(F.col("c").alias("p"), F.col("p").alias("q")), "p").select("c", "p", "q")
 
 
-def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(forest, labels) of the graph with edges ``u, v``: forest ``u, v``; labels ``vertex, root``.
+def contracted(names: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(tree edges ``a, b``, labels ``x, root``, seed) of the graph with vertices ``name`` and edges ``u, v``, by numbers.
 
-    Each component picks its lightest outgoing edge (weights are hashes of the
-    edge, so all differ), components are contracted along the picks by pointer
-    jumping, and edges inside a component are dropped and parallel ones merged.
-    The number of components at least halves per round. A hot component's
-    pick is a map-side combined minimum; the relabelling joins are sort-merge
-    joins that AQE splits. Rounds go on until no edge is left, at every size.
-    Both results are checkpointed.
+    A vertex is its name's 64-bit hash: numbers are shuffled instead of names
+    and all aggregates are hash aggregates. Were two names to share a hash,
+    which a count rules out, the next seed is taken.
 
-    Defined cases: null ends and self edges link nothing, repeated and
-    reversed edges count once, an empty graph gives two empty results.
+    Each component picks its lightest outgoing edge (weights are scattered row
+    numbers, so all differ). An edge picked from both sides makes the smaller
+    side the root; components are contracted along the picks by pointer
+    jumping, and edges inside a component are dropped and parallel ones
+    merged. The number of components at least halves per round, until no edge
+    is left, at every size. A hot component's pick is a map-side combined
+    minimum; the joins are sort-merge joins that AQE splits.
     """
-    ends = edges.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v")).where("u <> v")
-    left = ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    left = checkpointed(left.select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.xxhash64("u", "v").alias("w"), "u", "v"))
-    none = left
-    trees, steps = [], []
+    seed = SEED
+    while names.groupBy(_number(F.col("name"), seed).alias("x")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        seed += 1
+    pairs = edges.select(_number(F.col("u"), seed).alias("x"), _number(F.col("v"), seed).alias("y")).where("x <> y")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    whole = checkpointed(pairs.select(F.monotonically_increasing_id().alias("e"), "a", "b")).select(_scattered(F.col("e") + 1).alias("w"), "a", "b")
+    left, trees, steps = whole.select("w", F.col("a").alias("cu"), F.col("b").alias("cv")), [], []
+    held: DataFrame | None = None
     while left.limit(1).count():
-        e = F.struct("w", "u", "v")
-        both = left.select(F.explode(F.array(F.struct(F.col("cu").alias("c"), F.col("cv").alias("o"), e.alias("e")), F.struct(F.col("cv").alias("c"), F.col("cu").alias("o"), e.alias("e")))).alias("x"))
-        best = checkpointed(both.groupBy("x.c").agg(F.min(F.struct("x.e", "x.o")).alias("b")).select("c", "b.o", "b.e"))
-        trees.append(best.select("e.u", "e.v").distinct())
-        back = best.select(F.col("c").alias("o"), F.col("o").alias("oo"))
-        up = best.join(back, "o").select("c", F.when((F.col("oo") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p"))
+        best = left.select(F.explode(F.array("cu", "cv")).alias("c"), "w").groupBy("c").agg(F.min("w").alias("w"))
+        picked = checkpointed(best.groupBy("w").agg(F.min("c").alias("c"), F.max("c").alias("d")).join(left, "w"))
+        trees.append(picked.select("w"))
+        both = F.col("c") != F.col("d")
+        to = F.when(both, F.col("c")).when(F.col("c") == F.col("cu"), F.col("cv")).otherwise(F.col("cu"))
+        up = picked.select(F.explode(F.when(both, F.array(F.struct("c", F.col("c").alias("p")), F.struct(F.col("d").alias("c"), F.col("c").alias("p")))).otherwise(F.array(F.struct("c", to.alias("p"))))).alias("x")).select("x.c", "x.p")
         old = None
         while True:
             jumped = checkpointed(_jumped(_jumped(up).select("c", F.col("q").alias("p"))))
@@ -57,18 +72,34 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
                 break
         steps.append(up)
         root = lambda x: up.select(F.col("c").alias(x), F.col("p").alias("n" + x))  # noqa: B023, E731
-        moved_edges = left.join(root("cu"), "cu").join(root("cv"), "cv").where("ncu <> ncv")
-        merged = moved_edges.groupBy(F.least("ncu", "ncv").alias("cu"), F.greatest("ncu", "ncv").alias("cv")).agg(F.min(e).alias("e"))
-        done, left = left, checkpointed(merged.select("cu", "cv", "e.w", "e.u", "e.v"))
-        release(done)
+        merged = left.join(root("cu"), "cu").join(root("cv"), "cv").where("ncu <> ncv").groupBy(F.least("ncu", "ncv").alias("cu"), F.greatest("ncu", "ncv").alias("cv")).agg(F.min("w").alias("w"))
+        left = checkpointed(merged.select("w", "cu", "cv"))
+        if held is not None:
+            release(held)
+        held = left
     if not steps:
-        return none.select("u", "v"), none.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
+        return whole.select("a", "b"), whole.select(F.col("a").alias("x"), F.col("b").alias("root")), seed
     label = steps[-1]
     for up in reversed(steps[:-1]):
         higher = label.select(F.col("c").alias("p"), F.col("p").alias("pp"))
         label = up.join(higher, "p", "left").select("c", F.coalesce("pp", "p").alias("p"))
-    forest = checkpointed(reduce(DataFrame.unionByName, trees).distinct())
-    return forest, label.select(F.col("c").alias("vertex"), F.col("p").alias("root"))
+    return whole.join(reduce(DataFrame.unionByName, trees), "w", "left_semi").select("a", "b"), label.select(F.col("c").alias("x"), F.col("p").alias("root")), seed
+
+
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(forest, labels) of the graph with edges ``u, v``: forest ``u, v``; labels ``vertex, root`` (see ``contracted``).
+
+    The rounds' picks are checkpointed: the forest is that table with its names.
+
+    Defined cases: null ends and self edges link nothing, repeated and
+    reversed edges count once, an empty graph gives two empty results.
+    """
+    ends = edges.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v")).where("u <> v")
+    names = checkpointed(ends.select(F.explode(F.array("u", "v")).alias("name")).distinct())
+    trees, label, seed = contracted(names, ends)
+    named = lambda x, name: names.select(_number(F.col("name"), seed).alias(x), F.col("name").alias(name))
+    forest = trees.join(named("a", "u"), "a").join(named("b", "v"), "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return forest, label.join(named("x", "vertex"), "x").join(named("root", "top"), "root").select("vertex", F.col("top").alias("root"))
 
 
 def blocks_of(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,18 +112,22 @@ def blocks_of(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     of all records is one vertex and its rows are aggregated map-side.
     """
     groups = F.col("groups") if "groups" in records.columns else F.array_compact(F.array(F.concat(F.lit("b:"), "bio"), F.concat(F.lit("a:"), "acq")))
-    records = checkpointed(records.select("stable_image_id", groups.alias("groups"), "eligibility", "synthetic_split"))  # read three times below
+    records = checkpointed(records.select("stable_image_id", groups.alias("groups"), "eligibility", "synthetic_split"))  # read several times below
     first = F.get("groups", F.lit(0))
-    pairs = records.where(F.size("groups") > 1).select(first.alias("u"), F.explode(F.slice("groups", F.lit(2), F.size("groups"))).alias("v")).distinct()
-    forest, label = spanning_forest(pairs)
+    pairs = records.where(F.size("groups") > 1).select(first.alias("u"), F.explode(F.slice("groups", F.lit(2), F.size("groups"))).alias("v"))
     members = records.withColumn("vertex", F.coalesce(first, F.concat(F.lit("r:"), "stable_image_id")))
     per = members.groupBy("vertex").agg(
         F.min("stable_image_id").alias("first"), F.count(F.lit(1)).alias("n"),
         F.min(F.least("eligibility", "synthetic_split")).alias("low"), F.max(F.greatest("eligibility", "synthetic_split")).alias("high"),
     )
-    per = checkpointed(per.join(label, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")))
+    per = checkpointed(per)
+    names = per.select(F.col("vertex").alias("name")).unionByName(pairs.select(F.col("v").alias("name"))).distinct()
+    trees, label, seed = contracted(names, pairs)
+    per = per.withColumn("x", _number(F.col("vertex"), seed)).join(label, "x", "left").withColumn("root", F.coalesce("root", "x"))
     whole = per.groupBy("root").agg(F.min("first").alias("block_id"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    blocks = per.select("vertex", "root").join(whole, "root").select("vertex", "block_id", "n", F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("torn"))
+    blocks = checkpointed(per.select("vertex", "root").join(whole, "root").select("vertex", "block_id", "n", F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("torn")))
+    named = lambda x, name: names.select(_number(F.col("name"), seed).alias(x), F.col("name").alias(name))
+    forest = trees.join(named("a", "u"), "a").join(named("b", "v"), "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return members.select("stable_image_id", "vertex"), blocks, forest
 
 
@@ -154,7 +189,6 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, blocks, _ = blocks_of(current_splits(spark, sf_dir))
     rows = table(spark, sf_dir, "split_targets").select(S.role("split").alias("split"), "target_share").where("split IS NOT NULL").groupBy("split").agg(F.max("target_share").alias("s"))
     targets = [(r["split"], r["s"]) for r in rows.collect()]  # a fixed table of four rows
-    blocks = checkpointed(blocks)
     dealt = deal_blocks(blocks.select("block_id", "n").distinct(), targets)
     return members.join(blocks.select("vertex", "block_id"), "vertex").join(dealt.select("block_id", "split"), "block_id").select("stable_image_id", "block_id", "split")
 
