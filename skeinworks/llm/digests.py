@@ -147,11 +147,12 @@ def certified(values: DataFrame, found: DataFrame, keys: list[str], ps: list[flo
     side = found.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "n", "estimates")
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
     finite = values.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))).select(*keys, "v")
+    # only counts are aggregated, so that it is a hash aggregate; the estimates are joined again to its few rows
     counted = finite.join(side, cond).groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("estimates").alias("estimates"), F.count(F.lit(1)).alias("__all"),
+        F.count(F.lit(1)).alias("__all"),
         *[F.count_if(F.col("v") < F.col("estimates")[i]).alias(f"__lt{i}") for i in range(len(ps))],
         *[F.count_if(F.col("v") <= F.col("estimates")[i]).alias(f"__le{i}") for i in range(len(ps))],
-    )
+    ).join(side, cond)
     rows = [F.struct(F.lit(p).alias("p"), F.col("estimates")[i].alias("estimate"), (F.col(f"__lt{i}") / F.col("__all")).alias("below"), (F.col(f"__le{i}") / F.col("__all")).alias("upto")) for i, p in enumerate(ps)]
     out = counted.select(*keys, F.col("__all").alias("n"), F.explode(F.array(*rows)).alias("r"))
     error = F.greatest(F.col("r.below") - F.col("r.p"), F.col("r.p") - F.col("r.upto"), F.lit(0.0))
