@@ -18,7 +18,7 @@ SCORE = 0.995
 #: Edges that a grid cell should hold on average.
 CELL_EDGES = 500_000
 #: Blocks of vertices at least, so that small graphs are laid out the same way.
-LEAST_BLOCKS = 4
+LEAST_BLOCKS = 2
 #: The random priority before each vertex: a fixed-width hash, so text order is priority order.
 _WIDTH = 16
 
