@@ -298,3 +298,18 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sized_documents(spark, sf_dir)
     plan, _ = mixture_plan(docs, mixture_targets(spark, sf_dir))
     return select_documents(docs, plan)
+
+
+def p9_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that the mix breaks: a document above its cap, a source above its plan, or a rest that a document not used up would still fit."""
+    docs = sized_documents(spark, sf_dir)
+    plan, report = mixture_plan(docs, mixture_targets(spark, sf_dir))
+    used = checkpointed(select_documents(docs, plan))
+    caps = small(checkpointed(report.select("source", "max_repeats", "planned_tokens", "available_tokens")))
+    own = docs.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode("sources").alias("source")).join(caps, "source")
+    both = own.join(used.select("doc_id", "source", "repeats"), ["doc_id", "source"], "left").withColumn("repeats", F.coalesce("repeats", F.lit(0)))
+    per = both.groupBy("doc_id").agg(F.sum("repeats").alias("n"), F.max("max_repeats").alias("most"))
+    most = F.least("max_repeats", F.ceil(F.col("planned_tokens") / F.col("available_tokens")))
+    sums = both.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("got"), F.max("planned_tokens").alias("planned"), F.min(F.when(F.col("repeats") < most, F.col("n_tokens"))).alias("shortest"))
+    row = lambda df, rule, entity: df.select(F.lit(rule).alias("rule"), F.col(entity).cast("string").alias("entity"))
+    return row(both.where("repeats > max_repeats"), "source_cap", "doc_id").unionByName(row(per.where("n > most"), "cap", "doc_id")).unionByName(row(sums.where("got > planned"), "plan", "source")).unionByName(row(sums.where("planned - got >= shortest"), "rest", "source"))

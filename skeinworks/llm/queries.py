@@ -31,6 +31,7 @@ QUERIES = {
     "p9_found": mixture.p9_found,
     "p9_report": mixture.p9_report,
     "p9_mix": mixture.p9_mix,
+    "p9_violations": mixture.p9_violations,
     "p10_found": subjects.p10_found,
     "p10_composition": subjects.p10_composition,
 }
@@ -150,5 +151,6 @@ heads AS (
 SELECT id AS stable_image_id, upper(split_part(category, '|', 1)) AS inferred_condition, {_div("split_part(category, '|', 2)")} AS inferred_div
 FROM (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id NOT IN (SELECT id FROM heads), k, id) AS r FROM keyed) JOIN quota USING (category) WHERE r <= quota""",
     "p7_counts": _P7,
+    "p9_violations": "SELECT 'none' AS rule, 'none' AS entity WHERE false",
     "p5_found": _STRATA + "SELECT inferred_condition, inferred_div FROM rep WHERE n < greatest(mi, sh * ss) OR g < mg",
 }
